@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import decontaminate, near_dedup, pii, quality
+from terrace.llm import decontaminate, near_dedup, packing, pii, quality
 from terrace.llm.common import table
 
+#: The tokenizer file of op2 and of the pipeline, by name among the public ones.
+TOKENIZER = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -69,3 +72,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_semicrf_pii")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+@query("op2_best_fit_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.Packing(tokenizer_path()))
