@@ -354,26 +354,24 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), redact: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the ``carry`` columns, counts of base spans by kind, base_sha256, spans.
+def find(docs: DataFrame, *, text: str = "text", to: str = "pii") -> DataFrame:
+    """All rows and columns of ``docs`` with one more, a struct: n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, clean.
 
     Spans are kind:start:end, in code points, end exclusive.  A null text is taken
     as empty and has no span; an empty list's digest is that of the empty string.
-    With ``redact`` there is a column ``clean``: the text without the spans (null stays null).
+    clean is the text without the spans (null stays null).
     """
     prepare(docs.sparkSession)
     crf = model()  # trained once, on the driver; a few thousand weights
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, clean string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
             rows = []
-            for t in frame.text:
+            for t in batch:
                 base, every = all_spans("" if t is None else t, crf)
                 counts = [sum(k == kind for _, _, k in base) for kind in KINDS[:4]]
-                rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(every), *([None if t is None else redacted(t, every)] if redact else [])))
-            got = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans", *(["clean"] if redact else [])], index=frame.index)
-            yield pd.concat([frame.drop(columns="text"), got], axis=1)
+                rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(every), None if t is None else redacted(t, every)))
+            yield pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans", "clean"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *carry, F.col(text).cast("string").alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInPandas(run, kinds + ", n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", clean string" * redact)
+    return docs.withColumn(to, run(F.col(text).cast("string")))

@@ -181,23 +181,19 @@ def train(docs: DataFrame, labels: DataFrame, how: Quality = Quality(), *, doc_i
     return fit([np.asarray(x, np.int64) for x in got.slots], got.label.to_numpy(bool) if len(got) else np.zeros(0, bool), how)
 
 
-def scored(docs: DataFrame, model: Model, how: Quality = Quality(), *, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the ``carry`` columns, score from 0 to 1, predicted 0 or 1.
+def scored(docs: DataFrame, model: Model, how: Quality = Quality(), *, text: str = "text", score_to: str = "score", predicted_to: str = "predicted") -> DataFrame:
+    """All rows and columns of ``docs`` with two more: a score from 0 to 1 and the prediction, 0 or 1.
 
     Null and empty texts have no n-gram and get the score of the bias alone.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)  # two floats a slot: 2 MB
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in frames:
-            for frame, texts in _pieces(whole):
-                s = score(texts, shared.value, how)
-                out = frame.rename(columns={"text": "score"})
-                out["score"] = s
-                out["predicted"] = (s >= how.threshold).astype(np.int32)
-                yield out
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInPandas(run, ", ".join(f"`{k}` {'double' if k == 'text' else v}".replace("`text`", "`score`") for k, v in kinds.items()) + ", predicted int")
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            frame = pd.DataFrame({"text": batch})
+            yield pd.Series(np.concatenate([np.zeros(0), *(score(texts, shared.value, how) for _, texts in _pieces(frame))]))
+
+    found = docs.withColumn(score_to, run(F.col(text).cast("string")))
+    return found.withColumn(predicted_to, (F.col(score_to) >= how.threshold).cast("int"))

@@ -64,14 +64,15 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 @query("op5_nbsvm_quality")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
 
 
 @query("op4_semicrf_pii")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents"))
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *(f"pii.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")))
 
 
 def tokenizer_path() -> str:
