@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else, unlike ``lower``."""
     return F.translate(text, UPPER, UPPER.lower())
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like :func:`cut`, as compressed Parquet in the same folder: for wide or long tables of which columns are read apart."""
+    spark = prepare(df.sparkSession)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

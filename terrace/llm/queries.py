@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import decontaminate, exact_topk, near_dedup, packing, pii, quality
+from terrace.llm import ctw, decontaminate, exact_topk, near_dedup, packing, pii, quality
 from terrace.llm.common import table
 
 #: The tokenizer file of op2 and of the pipeline, by name among the public ones.
@@ -103,3 +103,8 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
+
+
+@query("op7_context_tree_weighting")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.lm_scores(table(spark, sf_dir, "documents"))
