@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import ctw, decontaminate, exact_topk, near_dedup, packing, pii, quality
+from terrace.llm import ctw, decontaminate, exact_topk, licenses, near_dedup, packing, pii, quality
 from terrace.llm.common import table
 
 #: The tokenizer file of op2 and of the pipeline, by name among the public ones.
@@ -108,3 +108,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 @query("op7_context_tree_weighting")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.lm_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.recognise(table(spark, sf_dir, "documents"))
+
+
+SQL["op1_license_scan"] = licenses.recognise_sql()
