@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import ctw, decontaminate, exact_topk, licenses, near_dedup, packing, pii, quality
-from terrace.llm.common import table
+from terrace.llm import ctw, decontaminate, exact_topk, fixity, licenses, near_dedup, packing, pii, quality
+from terrace.llm.common import cut, table
 
 #: The tokenizer file of op2 and of the pipeline, by name among the public ones.
 TOKENIZER = "byte_bpe_50k.json"
@@ -116,3 +116,43 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op1_license_scan"] = licenses.recognise_sql()
+
+
+@query("op3_merkle_fixity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the archive of ``pages`` with its place, hash and root, and its state in a replica.
+
+    The replica is written from the same pages and then suffers known damage: of
+    the records whose id has a crc32 divisible by 97 those of odd id are lost and
+    the others have one character of their body changed.
+    """
+    pages = table(spark, sf_dir, "pages")
+    mine = cut(fixity.manifest(pages))
+    hurt = F.coalesce(F.crc32(F.col("page_id").cast("string").cast("binary")) % 97 == 0, F.lit(False))
+    bent = pages.select("page_id", "url", F.when(hurt, F.overlay("html", F.lit("~"), F.lit(1), F.lit(1))).otherwise(F.col("html")).alias("html"))
+    bent = bent.select("page_id", F.sha2(fixity.record_text(F.col("page_id"), F.col("url"), F.col("html")), 256).alias("bent_sha256")).where(hurt).distinct()
+    kept = mine.where(~(hurt & (F.abs(F.col("page_id")) % 2 == 1))).join(bent, "page_id", "left")
+    replica = kept.select("file_no", "part", "slot", F.coalesce("bent_sha256", "record_sha256").alias("record_sha256")).dropDuplicates(["file_no", "part", "slot"])
+    found = fixity.audit(mine, replica)
+    states = mine.join(found, ["file_no", "part", "slot"], "left").join(fixity.roots(mine), ["file_no", "part"])
+    return states.select("file_no", "slot", "page_id", "offset", "length", "record_sha256", "root_sha256", F.coalesce("damage", F.lit("sound")).alias("state"))
+
+
+SQL["op3_merkle_fixity"] = r"""
+WITH RECURSIVE crc(k, t) AS (
+  SELECT CAST(i AS BIGINT), list_reduce([CAST(i AS BIGINT), 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FROM range(256) AS r(i)
+), tab AS (SELECT list(t ORDER BY k) AS t FROM crc
+), p AS (
+  SELECT page_id, url, html, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+    || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(page_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda a, c: xor(a >> 8, tab.t[1 + (xor(a, c) & 255)]))) AS crc32
+  FROM pages, tab
+), m AS (
+  SELECT page_id // 256 AS file_no, row_number() OVER w - 1 AS slot, page_id, CAST(sum(strlen(rec)) OVER w - strlen(rec) AS BIGINT) AS "offset", CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS record_sha256, crc32
+  FROM p WINDOW w AS (PARTITION BY page_id // 256 ORDER BY page_id)
+), one AS (SELECT file_no, slot // 16 AS node, sha256(string_agg(record_sha256, '' ORDER BY slot)) AS h FROM m GROUP BY ALL
+), root AS (SELECT file_no, sha256(string_agg(h, '' ORDER BY node)) AS root_sha256 FROM one GROUP BY ALL)
+SELECT file_no, slot, page_id, "offset", length, record_sha256, root_sha256, CASE WHEN crc32 % 97 <> 0 THEN 'sound' WHEN page_id % 2 = 1 THEN 'missing' ELSE 'corrupt' END AS state
+FROM m JOIN root USING (file_no)
+"""
