@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import ctw, decontaminate, exact_topk, fixity, licenses, near_dedup, packing, pii, quality
+from terrace.llm import ctw, decontaminate, exact_topk, fixity, licenses, near_dedup, packing, pii, quality, tool_calls
 from terrace.llm.common import cut, table
 
 #: The tokenizer file of op2 and of the pipeline, by name among the public ones.
@@ -156,3 +156,42 @@ WITH RECURSIVE crc(k, t) AS (
 SELECT file_no, slot, page_id, "offset", length, record_sha256, root_sha256, CASE WHEN crc32 % 97 <> 0 THEN 'sound' WHEN page_id % 2 = 1 THEN 'missing' ELSE 'corrupt' END AS state
 FROM m JOIN root USING (file_no)
 """
+
+
+#: What a user's turn asks of the tool "reply", as the schema of its arguments.
+REPLY = {
+    "type": "object",
+    "required": ["chars", "conversation", "prompt", "turn"],
+    "additionalProperties": False,
+    "properties": {"chars": {"type": "integer", "minimum": 8, "maximum": 1500}, "conversation": {"type": "integer"}, "prompt": {"type": "string"}, "turn": {"type": "integer", "minimum": 0}},
+}
+
+
+@query("op10_tool_call_linking")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn of ``conversations`` as a call of "reply", the assistant's next turn as its result.
+
+    A call waits for the call two turns before it.  Other turns of the assistant
+    are results without a call.
+    """
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    named = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+    arguments = F.to_json(F.struct(F.length("text").alias("chars"), F.col("conv_id").alias("conversation"), F.col("text").alias("prompt"), "turn"))
+    calls = turns.where("role = 'user'").select("conv_id", named(0).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"), F.array(named(2)).alias("after"))
+    results = turns.where("role = 'assistant'").select("conv_id", named(1).alias("call_id"), F.col("text").alias("content"))
+    return tool_calls.link(calls, results, {"reply": REPLY})
+
+
+SQL["op10_tool_call_linking"] = """
+WITH c AS (SELECT conv_id, conv_id || ':' || turn AS call_id, turn, text FROM conversations WHERE role = 'user'
+), r AS (SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'
+)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, turn AS "position",
+  CASE WHEN c.call_id IS NULL THEN NULL ELSE CAST(0 AS INTEGER) END AS hops,
+  CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS state,
+  CASE WHEN c.call_id IS NULL THEN '' WHEN length(text) < 8 THEN '/chars: minimum' WHEN length(text) > 1500 THEN '/chars: maximum' ELSE '' END AS errors,
+  CASE WHEN c.call_id IS NULL THEN '{"id":' || to_json(r.call_id) || ',"result":' || to_json(content) || '}'
+    ELSE '{"arguments":{"chars":' || length(text) || ',"conversation":' || c.conv_id || ',"prompt":' || to_json(text) || ',"turn":' || turn || '},"id":' || to_json(c.call_id)
+      || ',"name":"reply","result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' END AS line
+FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+"""
