@@ -75,8 +75,9 @@ def positions(calls: DataFrame, rounds: int = 200) -> DataFrame:
 
     Sorting by position, hops, turn and call_id is a topological order of all but
     the cyclic calls.  Waiting for a call that does not exist is ignored.  The
-    rounds are as many as later turns are named one after another; calls that
-    still move after ``rounds``, or wait for themselves, are reported as cyclic.
+    rounds are as many as later turns are named one after another; if some calls
+    still move after ``rounds``, those that moved in the second half of them are
+    reported as cyclic, and so is a call that waits for itself.
     """
     prepare(calls.sparkSession)
     known = cut(calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"), F.flatten(F.collect_list("after")).alias("after")))
@@ -86,11 +87,13 @@ def positions(calls: DataFrame, rounds: int = 200) -> DataFrame:
     now = known.select("conv_id", "call_id", "turn", F.col("turn").alias("position"), F.lit(0).alias("hops"))
     # Calls that name only earlier turns need no round at all; the others, and those waiting for them, move.
     moved = cut(edges.where("other_turn >= turn").select("conv_id", "call_id").distinct())
-    last = moved.limit(0)
-    for _ in range(rounds):
+    late = moved.limit(0)  # what moved in the second half of the rounds; emptied if all came to rest
+    for k in range(rounds):
         if moved.isEmpty():
+            late = moved
             break
-        last = moved
+        if 2 * k >= rounds:
+            late = late.unionByName(moved)
         inputs = edges.join(moved, ["conv_id", "call_id"], "left_semi").join(
             now.select("conv_id", F.col("call_id").alias("other"), F.col("position").alias("p"), F.col("hops").alias("h")), ["conv_id", "other"]
         )
@@ -101,7 +104,7 @@ def positions(calls: DataFrame, rounds: int = 200) -> DataFrame:
         now = merged.drop("changed")
         changed = merged.where("changed").select("conv_id", F.col("call_id").alias("other"))
         moved = cut(edges.join(changed, ["conv_id", "other"], "left_semi").select("conv_id", "call_id").distinct())
-    stuck = (moved if not moved.isEmpty() else last.limit(0)).withColumn("stuck", F.lit(True))
+    stuck = late.distinct().withColumn("stuck", F.lit(True))
     selfish = edges.where("call_id = other").select("conv_id", "call_id").distinct().withColumn("selfish", F.lit(True))
     out = now.join(stuck, ["conv_id", "call_id"], "left").join(selfish, ["conv_id", "call_id"], "left")
     return out.select("conv_id", "call_id", "position", "hops", (F.coalesce("stuck", F.lit(False)) | F.coalesce("selfish", F.lit(False))).alias("cyclic"))
