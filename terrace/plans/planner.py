@@ -326,7 +326,7 @@ class _Planner:
 
     def hash_level(self, level: Hash, parents: DataFrame, depth: int) -> DataFrame:
         rows = held(self.nodes.where("kind = 'hash'").join(parents.select(F.col("name").alias("parent_name")), "parent_name", "left_semi"))
-        sets = parents.join(hash_coverage(rows.select("parent_name", "modulus", "remainder"), "parent_name").withColumnRenamed("parent_name", "name"), "name", "left")
+        sets = parents.join(held(hash_coverage(rows.select("parent_name", "modulus", "remainder"), "parent_name")).withColumnRenamed("parent_name", "name"), "name", "left")
         why = (
             F.when(F.col("members").isNull(), None)
             .when(F.col("modulus").isNull() & F.col("complete").isNull(), "coverage_unknown")

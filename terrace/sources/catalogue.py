@@ -108,19 +108,27 @@ def missing_remainders(buckets: DataFrame, modulus: int) -> DataFrame:
     return want.join(buckets.where(F.col("modulus") == modulus).select("remainder"), "remainder", "left_anti")
 
 
+def _gcd(a: Column, b: Column) -> Column:
+    """Euclid's steps; forty are enough for any two numbers below 10**8."""
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.pmod(s["a"], F.nullif(s["b"], F.lit(0).cast("long"))).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(a.alias("a"), b.alias("b")), step, lambda s: s["a"])
+
+
 def hash_coverage(buckets: DataFrame, by: str, cap: int = 65_536) -> DataFrame:
     """Per set: members, whether all have one modulus (then which), and whether the residue classes cover everything.
 
-    The classes are counted over the least common multiple of the moduli; beyond
-    ``cap`` the answer is null.
+    A set of one modulus is complete if it has all remainders.  Of mixed ones the
+    classes are counted over the least common multiple of the moduli; beyond ``cap``
+    the answer is null.
     """
-    gcd = lambda a, b: F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(a.alias("a"), b.alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.pmod(s["a"], F.nullif(s["b"], F.lit(0).cast("long"))).alias("b"))), lambda s: s["a"])
-    sets = buckets.groupBy(by).agg(F.count("*").alias("members"), F.collect_set(F.col("modulus").cast("long")).alias("moduli"))
-    lcm = F.aggregate("moduli", F.lit(1).cast("long"), lambda a, m: F.when(a > cap, a).otherwise(F.call_function("div", a * m, gcd(a, m))))
-    sets = sets.withColumn("lcm", lcm)
-    residues = buckets.join(sets.where(F.col("lcm") <= cap).select(by, "lcm"), by).select(by, "lcm", F.explode(F.sequence(F.col("remainder").cast("long"), F.col("lcm") - 1, F.col("modulus").cast("long"))).alias("r"))
+    sets = buckets.groupBy(by).agg(F.count("*").alias("members"), F.min("modulus").alias("low"), F.max("modulus").alias("high"), F.count_distinct("remainder").alias("remainders"))
+    uniform = sets.where("low = high").select(by, "members", F.col("low").cast("int").alias("modulus"), (F.col("remainders") == F.col("low")).alias("complete"))
+    mixed = buckets.join(sets.where("low != high").select(by, "members"), by)
+    lcm = F.aggregate("moduli", F.lit(1).cast("long"), lambda a, m: F.when(a > cap, a).otherwise(F.call_function("div", a * m, _gcd(a, m))))
+    moduli = mixed.groupBy(by).agg(F.max("members").alias("members"), F.collect_set(F.col("modulus").cast("long")).alias("moduli")).select(by, "members", lcm.alias("lcm"))
+    residues = mixed.drop("members").join(moduli.where(F.col("lcm") <= cap), by).select(by, "lcm", F.explode(F.sequence(F.col("remainder").cast("long"), F.col("lcm") - 1, F.col("modulus").cast("long"))).alias("r"))
     covered = residues.groupBy(by).agg((F.count_distinct("r") == F.max("lcm")).alias("complete"))
-    return sets.join(covered, by, "left").select(by, "members", F.when(F.size("moduli") == 1, F.col("moduli")[0].cast("int")).alias("modulus"), "complete")
+    return uniform.unionByName(moduli.join(covered, by, "left").select(by, "members", F.lit(None).cast("int").alias("modulus"), "complete"))
 
 
 def first_of(frames: list[DataFrame]) -> DataFrame:
