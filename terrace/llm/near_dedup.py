@@ -13,10 +13,13 @@ What follows:
 2.  Small hashes that no second class has are dropped before keys are formed.
 3.  In every table each class meets the most central one of its bucket (the one
     with the fullest buckets), and its best such partner is verified on full sets.
-4.  Buckets that still hold several components are gone over again: each member
-    meets the ``reps`` most central members of other components.  A bucket of
-    at most ``reps`` + 1 members is thus compared in full; a larger one costs
-    ``reps`` pairs a member instead of growing with its square.
+4.  Buckets that still hold several components are gone over again.  One of at
+    most ``reps`` + 1 members is compared in full.  Larger buckets with the same
+    most central member make a family; each of its members meets the ``family``
+    most central ones, which costs so many comparisons a member and never the
+    square, and sends each set once a family.
+    A text in a family that is near to none of those, nor to its like in any
+    small bucket, keeps its component though it may be near to another.
 5.  Verified links give components.
 
 Sets are compared by hashes of their shingles: classes by 128 bits, links by 32,
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.llm import hashing
-from terrace.llm.common import cut, prepare
+from terrace.llm.common import cut, prepare, stored
 from terrace.llm.graph import components
 
 
@@ -48,6 +51,8 @@ class NearDedup:
     width: int = 3
     side: int = 10
     reps: int = 24
+    family: int = 64
+    chunk: int = 512
     seed: int = 7
 
     @property
@@ -60,7 +65,7 @@ def _encoded(texts: pd.Series) -> list[bytes]:
 
 
 def signatures(frames: Iterator[pd.DataFrame], how: NearDedup) -> Iterator[pd.DataFrame]:
-    """(doc_id, text_md5, text) to (doc_id, text_md5, n, sid, small): small has the hashes of both collections."""
+    """(doc_id, text_md5, text) to (doc_id, text_md5, n, digest, small): small has the hashes of both collections."""
     ab = how.multipliers
     for whole in frames:
         for at in range(0, len(whole), 256):
@@ -83,7 +88,7 @@ def signatures(frames: Iterator[pd.DataFrame], how: NearDedup) -> Iterator[pd.Da
                     "doc_id": frame.doc_id.to_numpy(),
                     "text_md5": frame.text_md5.to_numpy(),
                     "n": sizes,
-                    "sid": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                    "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                     "small": list(small.view(np.int64)),
                 }
             ).astype({"doc_id": "Int64"})
@@ -108,6 +113,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, how: NearDedup) -> DataFrame:
     )
 
 
+def overlaps(members: list[np.ndarray], reps: list[np.ndarray]) -> np.ndarray:
+    """How many grams each member has in common with each of ``reps``; all are distinct within an array."""
+    every = np.concatenate(reps)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], np.repeat(np.arange(len(reps)), [len(r) for r in reps])[order]
+    out = np.zeros((len(members), len(reps)), np.int64)
+    for k, grams in enumerate(members):
+        low, high = np.searchsorted(every, grams, "left"), np.searchsorted(every, grams, "right")
+        counts = high - low
+        at = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        out[k] = np.bincount(owner[at], minlength=len(reps))
+    return out
+
+
+def _linked(members: pd.DataFrame, reps: pd.DataFrame, how: NearDedup) -> pd.DataFrame:
+    """The links (a, b) between a chunk of a family and its most central members, of different components, on full sets."""
+    found = overlaps([np.asarray(g) for g in members.grams], [np.asarray(g) for g in reps.grams]) if len(members) and len(reps) else np.zeros((0, 0), np.int64)
+    x, y = np.nonzero(100 * found >= how.similarity * (members.n.to_numpy()[:, None] + reps.n.to_numpy()[None, :] - found)) if found.size else (np.zeros(0, int), np.zeros(0, int))
+    other = members.comp.to_numpy()[x] != reps.comp.to_numpy()[y]
+    return pd.DataFrame({"a": members.sid.to_numpy()[x][other], "b": reps.sid.to_numpy()[y][other]})
+
+
+def _across(keys: DataFrame, sets: DataFrame, links: DataFrame, how: NearDedup) -> DataFrame:
+    """Links (a, b) between components that share a bucket, or a family of large ones with b among its most central members."""
+    found = components(links).withColumnRenamed("node", "sid")
+    placed = keys.join(found, "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("weight", "sid")).alias("top")).where("lo != hi").select("key", F.col("top.sid").alias("family"))
+    open_rows = stored(placed.join(mixed, "key"))
+    # Large buckets around one most central member overlap widely: their members meet that family's most central ones once.
+    # A member's set is sent once a family, in chunks, and those of the central ones once a chunk.
+    families = open_rows.where(F.col("c") > how.reps + 1).select("family", "sid", "n", "comp", "weight").distinct()
+    ranked = families.withColumn("r", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("weight"), "sid"))).where(F.col("r") <= how.family)
+    chunks = families.groupBy("family").agg(F.ceil(F.count("*") / how.chunk).cast("int").alias("chunks"))
+    grams = sets.select("sid", "grams")
+    dealt = families.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks").cast("long")).cast("int"))
+    dealt = dealt.join(grams, "sid").select("family", "chunk", "sid", "n", "comp", "grams")
+    reps = ranked.join(grams, "sid").join(chunks, "family").select("family", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "sid", "n", "comp", "grams")
+    reps = reps.toDF("family", "chunk", "sid", "n", "comp", "grams")  # columns of their own, for the cogroup
+    out = dealt.groupBy("family", "chunk").cogroup(reps.groupBy("family", "chunk")).applyInPandas(lambda m, r: _linked(m, r, how), "a long, b long")
+    small = open_rows.where(F.col("c") <= how.reps + 1)
+    one, other = (small.select("key", F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("comp").alias(f"comp_{k}")) for k in "xy")
+    pairs = one.join(other, "key").where("x < y and comp_x != comp_y").select("x", "y", "n_x", "n_y").distinct()
+    return cut(out.unionByName(_verified(pairs, sets, how)))
+
+
 def near_duplicates(docs: DataFrame, how: NearDedup = NearDedup(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_md5, n_shingles, component_id, component, kept.
 
@@ -122,11 +172,12 @@ def near_duplicates(docs: DataFrame, how: NearDedup = NearDedup(), *, doc_id: st
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_md5"), F.col(text).cast("string").alias("text")
     )
-    signed = cut(rows.mapInPandas(lambda it: signatures(it, how), "doc_id long, text_md5 string, n long, sid binary, small array<long>"))
-    classes = signed.where("n > 0").groupBy("sid").agg(
+    signed = cut(rows.mapInPandas(lambda it: signatures(it, how), "doc_id long, text_md5 string, n long, digest binary, small array<long>"))
+    classes = signed.where("n > 0").groupBy("digest").agg(
         F.first("n").alias("n"), F.first("small").alias("small"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_md5")).alias("row"), F.min("doc_id").alias("least")
     )
-    classes = cut(classes.select("sid", "n", "small", "least", F.col("row.doc_id").alias("of"), F.col("row.text_md5").alias("md5")))
+    # Numbered once and written, so a class keeps its number.
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("sid"), "digest", "n", "small", "least", F.col("row.doc_id").alias("of"), F.col("row.text_md5").alias("md5")))
 
     # Keys: small hashes that several classes have, then the pairs of both collections.
     hashes = classes.select("sid", "n", F.posexplode("small").alias("k", "h"))
@@ -137,15 +188,15 @@ def near_duplicates(docs: DataFrame, how: NearDedup = NearDedup(), *, doc_id: st
         second.select("sid", F.col("k").alias("j"), F.col("h").alias("v")), "sid"
     ).select(F.xxhash64("i", "j", "u", "v").alias("key"), "sid", "n")
     fullness = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    keys = cut(keys.join(fullness, "key"))
+    keys = stored(keys.join(fullness, "key"))
     central = keys.groupBy("sid").agg(F.sum("c").alias("weight"))
-    keys = cut(keys.drop("c").join(central, "sid"))
+    keys = stored(keys.join(central, "sid"))
 
-    wanted = classes.join(keys.select("sid").distinct(), "sid", "left_semi").select("sid", "n", "of", "md5")
+    wanted = classes.join(central.select("sid"), "sid", "left_semi").select("sid", "n", "of", "md5")
     texts = rows.join(
         wanted, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("md5") == F.col("text_md5"))
     ).select("sid", "text").dropDuplicates(["sid"])
-    sets = cut(texts.mapInPandas(lambda it: shingled(it, how), "sid binary, grams array<int>").join(wanted.select("sid", "n"), "sid"))
+    sets = stored(texts.mapInPandas(lambda it: shingled(it, how), "sid long, grams array<int>").join(wanted.select("sid", "n"), "sid"))
 
     top = keys.groupBy("key").agg(F.max(F.struct("weight", "sid", "n")).alias("top"))
     stars = keys.join(top, "key").select(F.col("sid").alias("x"), F.col("n").alias("n_x"), F.col("top.sid").alias("y"), F.col("top.n").alias("n_y"), F.col("top.weight").alias("w")).where("x != y")
@@ -153,21 +204,15 @@ def near_duplicates(docs: DataFrame, how: NearDedup = NearDedup(), *, doc_id: st
     best = best.groupBy("x", "n_x").agg(F.max(F.struct("met", "w", "y", "n_y")).alias("b")).select("x", "n_x", F.col("b.y").alias("y"), F.col("b.n_y").alias("n_y"))
     links = cut(_verified(best, sets, how))
 
-    found = components(links)
-    placed = keys.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    open_rows = cut(placed.join(mixed, "key", "left_semi"))
-    ranked = open_rows.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "sid"))).where(F.col("r") <= how.reps)
-    reps = ranked.select("key", F.col("sid").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("comp_y"))
-    across = open_rows.select("key", F.col("sid").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("comp_x")).join(reps, "key").where("comp_x != comp_y")
-    across = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(F.col("x") < F.col("y"), F.col("n_x")).otherwise(F.col("n_y")).alias("n_x"), F.when(F.col("x") < F.col("y"), F.col("n_y")).otherwise(F.col("n_x")).alias("n_y")).distinct()
-    links = cut(links.unionByName(_verified(across, sets, how)))
+    links = links.unionByName(_across(keys, sets, links, how))
 
     found = cut(components(links).withColumnRenamed("node", "sid"))
     named = found.join(classes.select("sid", "least"), "sid").groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = classes.select("sid", "least").join(found, "sid", "left").join(named, "root", "left").select(
-        "sid", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "sid").alias("component")
+    heads = classes.select(F.col("sid").alias("root"), F.col("digest").alias("component"))
+    placed = found.join(named, "root").join(heads, "root").select("sid", "component_id", "component")
+    linked = classes.select("sid", "digest", "least").join(placed, "sid", "left").select(
+        "digest", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "digest").alias("component")
     )
-    filled = signed.where("n > 0").join(linked, "sid").select("doc_id", "text_md5", F.col("n").alias("n_shingles"), "component_id", "component")
+    filled = signed.where("n > 0").drop("small").join(linked, "digest").select("doc_id", "text_md5", F.col("n").alias("n_shingles"), "component_id", "component")
     blank = signed.where("n = 0").select("doc_id", "text_md5", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.unhex(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).alias("component"))
     return filled.unionByName(blank).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
