@@ -80,3 +80,22 @@ def test_components(spark):
 def test_shingle_sets():
     a, b, c, d, e = hashing.shingle_sets([b"a b c a b c", b" a\tb\nc ", b"", b"a b", b"b a"], 3)
     assert len(a) == 3 and len(b) == 1 and b[0] in a and len(c) == 0 and len(d) == 1 and d[0] != e[0]
+
+
+def test_query(spark, sf_dir, duck):
+    from terrace.llm import queries
+    from tests.oracle import same
+
+    name = "op8_minhash_near_dedup"
+    same(queries.QUERIES[name](spark, sf_dir), duck, queries.SQL[name])
+
+
+def test_overlaps_are_counted_as_sets():
+    import numpy as np
+
+    from terrace.llm.near_dedup import overlaps
+
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 60, k)) for k in (0, 1, 10, 40, 40)]
+    expected = [[len(set(a) & set(b)) for b in sets] for a in sets]
+    assert overlaps(sets, sets).tolist() == expected
