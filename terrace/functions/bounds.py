@@ -70,9 +70,7 @@ def parsed(text: str | None) -> dict | None:
     return None
 
 
-@F.udf(BOUNDS)
-def _parsed(text: str | None) -> dict | None:
-    return parsed(text)
+_parsed = F.udf(lambda text: parsed(text), BOUNDS)
 
 
 def parse(text: Column) -> Column:
