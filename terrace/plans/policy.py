@@ -288,3 +288,14 @@ class Lifecycle:
 def is_closed(settle: dt.timedelta = dt.timedelta(0)) -> Column:
     """Whether no more rows are due: the window ended ``settle`` ago.  False if it has no readable end."""
     return sure(F.col("now") >= F.col("pos_end") + _micros(settle))
+
+
+def rules_of(policy: Lifecycle | Rule | None) -> list[Rule]:
+    """All rules of a policy, those inside others included."""
+    if policy is None:
+        return []
+    if isinstance(policy, Lifecycle):
+        tops = [policy.retention, getattr(policy.creation, "when", None), getattr(policy.drop, "when", None)]
+        return [r for t in tops if t is not None for r in rules_of(t)]
+    inner = getattr(policy, "rules", None) or [x for x in (getattr(policy, "rule", None), getattr(policy, "when", None)) if x is not None]
+    return [policy, *(r for i in inner for r in rules_of(i))]

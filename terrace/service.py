@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import time
+import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
@@ -20,8 +21,10 @@ from terrace.operators.pruning import implied
 from terrace.operators.routing import DEFAULT, level_columns, route
 from terrace.plans import planner
 from terrace.plans.planner import EXPLICIT, MAINTAIN, RECONCILE, Context, Plan
+from terrace.plans.policy import SqlPredicate, is_closed, rules_of
 from terrace.plans.scheme import List, Range, Table
-from terrace.sources.store import ATTACHED, DETACHED, Store
+from terrace.sources.catalogue import listing
+from terrace.sources.store import ATTACHED, DETACHED, Store, merged
 
 
 @dataclass
@@ -49,10 +52,14 @@ class Moved:
 class LifecycleService:
     """Operations on one table below ``root``."""
 
-    def __init__(self, spark: SparkSession, root: str, table: Table, schema: StructType, hooks: Hooks | None = None) -> None:
+    def __init__(
+        self, spark: SparkSession, root: str, table: Table, schema: StructType, hooks: Hooks | None = None, *,
+        referencing: Iterable[tuple[DataFrame, Mapping[str, str]]] = (), options: Mapping[str, str] | None = None,
+    ) -> None:
+        """``referencing``: rows that refer to this table's, each with {our column: theirs}; ``options``: of the Parquet writer."""
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.table, self.hooks = spark, table, hooks or Hooks()
-        self.store = Store(spark, root, table.name, schema)
+        self.spark, self.table, self.hooks, self.referencing = spark, table, hooks or Hooks(), tuple(referencing)
+        self.store = Store(spark, root, table.name, schema, tuple((options or {}).items()))
         for level in table.scheme.walk():
             if missing := set(level.columns) - set(schema.fieldNames()):
                 raise ConfigError(f"{table.name} has no column {sorted(missing)}")
@@ -109,17 +116,56 @@ class LifecycleService:
     def inspect(self) -> DataFrame:
         return self.store.entries()
 
+    def validate(self) -> None:
+        """The stored root is partitioned as the scheme says; ConfigError if not."""
+        root = self.store.nodes().where(F.col("name") == self.table.name).first()
+        level = self.table.scheme
+        if root is None:
+            raise ConfigError(f"{self.table.name} does not exist")
+        if (root.partition_type, tuple(root.partition_columns)) != (level.method, level.columns):
+            raise ConfigError(f"{self.table.name} is partitioned by {root.partition_type} ({', '.join(root.partition_columns)})")
+
+    def list_partitions(self) -> DataFrame:
+        """Direct partitions and this table's orphans."""
+        return listing(self.store.nodes(), self.store.orphans(), self.table.name)
+
+    def is_partition_closed(self, name: str, now: dt.datetime, settle: dt.timedelta = dt.timedelta(0)) -> bool:
+        """Whether no more rows are due; false for DEFAULT, open-ended, detached and unknown partitions."""
+        row = self.store.nodes().where(F.col("name") == name).select(F.lit(micros(now)).alias("now"), "pos_end").select(is_closed(settle)).first()
+        return bool(row and row[0])
+
     def measure(self, wanted: frozenset[str] | None = None) -> DataFrame | None:
-        """Facts of the partitions that rules judge, and only those that rules need."""
+        """Facts of the partitions that rules judge, and only those that rules need.
+
+        Sizes, row counts and references are worked out for all partitions in one
+        pass.  A query of a rule is arbitrary, so it runs once for each partition.
+        """
         wanted = (self.table.lifecycle.facts if self.table.lifecycle else frozenset()) if wanted is None else wanted
-        if not wanted & {"size_bytes", "row_estimate"}:
+        if not wanted:
             return None
-        rows = self.store.read()
-        size = F.octet_length(F.to_json(F.struct("*")))
-        routed = route(rows, self.table.scheme, table=self.table.name)
         top = F.concat(F.lit(self.table.name + SEPARATOR), F.col("p0"))
-        facts = routed.groupBy(top.alias("name")).agg(F.sum(size).alias("size_bytes"), F.count("*").alias("row_estimate"))
-        return facts.select("name", "size_bytes", "row_estimate", F.lit(None).cast("boolean").alias("referenced"), F.lit(None).cast("map<string,boolean>").alias("predicates"))
+        routed = route(self.store.read(self.table.name), self.table.scheme).withColumn("name", top)
+        size = F.octet_length(F.to_json(F.struct(*[f.name for f in self.store.schema.fields])))
+        facts = routed.groupBy("name").agg(F.sum(size).alias("size_bytes"), F.count("*").alias("row_estimate"))
+        used = [mover.referenced(routed, rows, keys, "name") for rows, keys in self.referencing]
+        if used:
+            facts = facts.join(merged(used).distinct(), "name", "left").withColumn("referenced", F.coalesce("referenced", F.lit(False)))
+        else:
+            facts = facts.withColumn("referenced", F.lit(None).cast("boolean"))
+        answers = self._answers([r for r in rules_of(self.table.lifecycle) if isinstance(r, SqlPredicate)])
+        return facts.join(answers, "name", "left").select("name", "size_bytes", "row_estimate", "referenced", "predicates")
+
+    def _answers(self, predicates: list[SqlPredicate]) -> DataFrame:
+        rows = []
+        names = [r.name for r in self.store.entries().where((F.col("parent_name") == self.table.name) & (F.col("kind") != "default")).collect()] if predicates else []
+        for name in names:
+            view = f"terrace_{uuid.uuid4().hex}"
+            self.store.read(name).createOrReplaceTempView(view)
+            try:
+                rows.append((name, {p.id: bool(self.spark.sql(p.sql.replace("{partition}", view)).first()[0]) for p in predicates}))
+            finally:
+                self.spark.catalog.dropTempView(view)
+        return self.spark.createDataFrame(rows, "name string, predicates map<string,boolean>")
 
     def cursors(self) -> dict[str, int]:
         """The largest key of each integer axis."""

@@ -55,12 +55,13 @@ class Files:
 
 @dataclass(frozen=True)
 class Store:
-    """``schema`` is of the rows; ``table`` names the root."""
+    """``schema`` is of the rows; ``table`` names the root; ``options`` are the Parquet writer's."""
 
     spark: SparkSession
     root: str
     table: str
     schema: StructType
+    options: tuple[tuple[str, str], ...] = ()
 
     @property
     def files(self) -> Files:
@@ -119,7 +120,7 @@ class Store:
     def stage(self, df: DataFrame, by: str) -> dict[str, str]:
         """Write rows into a new folder for each value of ``by``; the folder of each value."""
         batch = f"data/{uuid.uuid4().hex}"
-        df.select(*[f.name for f in self.schema.fields], F.col(by).alias("__leaf")).hint("rebalance", F.col("__leaf")).write.partitionBy("__leaf").parquet(self.files.path(batch))
+        df.select(*[f.name for f in self.schema.fields], F.col(by).alias("__leaf")).hint("rebalance", F.col("__leaf")).write.options(**dict(self.options)).partitionBy("__leaf").parquet(self.files.path(batch))
         return {n.split("=", 1)[1]: f"{batch}/{n}" for n in self.files.names(batch) if n.startswith("__leaf=")}
 
     def drop_folders(self, folders: list[str]) -> None:

@@ -190,3 +190,27 @@ def test_routing_is_a_partition_of_the_rows(spark):
     clash = df.withColumn("partition", F.lit("mine"))
     assert route(clash, Range(("n",), axis=NumericAxis(10))).columns == ["k", "c", "n", "partition", "p0"]
     assert route(df.limit(0), scheme, table="t").count() == 0
+
+
+def test_rules_that_have_to_measure(spark, events, tmp_path):
+    nobody = R.SqlPredicate("SELECT (SELECT count(*) FROM {partition} WHERE user_id = 7) <= 2")
+    retention = R.AllOf((R.KeepNewest(5), R.Unreferenced(), R.RowsAbove(0), nobody))
+    table = Table("events", Range(("ts",), axis=TimeAxis("day")), R.Lifecycle(R.CreateAhead(1), retention, R.DropAfter(dt.timedelta(days=2))))
+    marked = events.where("event_id % 200 = 0").select(F.col("event_id").alias("event"))
+    s = LifecycleService(spark, str(tmp_path / "t"), table, events.schema, referencing=[(marked, {"event_id": "event"})], options={"compression": "zstd"})
+    s.initialise()
+    s.validate()
+    s.append(events)
+    s.partition_data(NOW)
+    s.maintain(NOW)
+    day = F.to_date("ts")
+    kept = events.groupBy(day.alias("d")).agg((F.count(F.when(F.col("user_id") == 7, 1)) > 2).alias("seven"), F.bool_or(F.col("event_id") % 200 == 0).alias("used"))
+    expected = {f"events__{r.d:%Y_%m_%d}" for r in kept.where("d < '2024-01-16' and not seven and not used").collect()}
+    listed = {r.name: r.attached for r in s.list_partitions().collect()}
+    assert expected and {n for n, attached in listed.items() if not attached} == expected
+    assert s.is_partition_closed("events__2024_01_19", NOW, dt.timedelta(hours=6))
+    assert not s.is_partition_closed("events__2024_01_19", NOW, dt.timedelta(hours=13))
+    assert not s.is_partition_closed("events__default", NOW) and not s.is_partition_closed("none", NOW)
+    other = LifecycleService(spark, str(tmp_path / "t"), Table("events", Hash(("user_id",))), events.schema)
+    with pytest.raises(ConfigError):
+        other.validate()
