@@ -87,28 +87,46 @@ def features(texts: list[bytes], how: Quality) -> tuple[np.ndarray, np.ndarray]:
     return (both & np.uint64(0xFFFFFFFF)).astype(np.int64), np.searchsorted(both >> np.uint64(32), np.arange(len(texts) + 1, dtype=np.uint64))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, how: Quality) -> Model:
+@dataclass(frozen=True)
+class Rows:
+    """The slots of many texts in one array; text i has ``slots[begins[i] : begins[i + 1]]``."""
+
+    slots: np.ndarray
+    begins: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray]) -> Rows:
+        return cls(np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32), np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64))
+
+    def __len__(self) -> int:
+        return len(self.begins) - 1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.slots[self.begins[i] : self.begins[i + 1]]
+
+
+def fit(rows: Rows, labels: np.ndarray, how: Quality) -> Model:
     """Log-count ratios, dual coordinate descent on the scaled indicators of unit length, then a logistic link."""
-    good, bad = np.full(how.dimensions, how.smoothing), np.full(how.dimensions, how.smoothing)
-    for slots, y in zip(rows, labels):
-        (good if y else bad)[slots] += 1
-    ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
     if not len(rows) or labels.all() or not labels.any():
         return Model(np.zeros(how.dimensions, np.float32), 0.0, 1.0, 2.0 if len(rows) and labels.all() else -2.0 if len(rows) else 0.0)
+    of_good = np.repeat(labels, np.diff(rows.begins))
+    good, bad = (np.bincount(rows.slots[x], minlength=how.dimensions) + how.smoothing for x in (of_good, ~of_good))
+    ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
+    norms = np.array([max(np.linalg.norm(ratio[rows[i]]), 1e-9) for i in range(len(rows))])
     rng = np.random.default_rng(how.seed)
 
     def descend(which: np.ndarray) -> tuple[np.ndarray, float]:
-        scaled = {i: ratio[rows[i]] / max(np.linalg.norm(ratio[rows[i]]), 1e-9) for i in which}
-        weight, bias, dual = np.zeros(how.dimensions), 0.0, dict.fromkeys(which, 0.0)
+        weight, bias, dual = np.zeros(how.dimensions), 0.0, np.zeros(len(rows))
         share = labels[which].mean()
-        caps = {i: how.cost * (0.5 / share if labels[i] else 0.5 / (1 - share)) for i in which}
+        caps = np.where(labels, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) * how.cost
         for _ in range(how.epochs):
             for i in rng.permutation(which):
-                y, x = (1.0 if labels[i] else -1.0), scaled[i]
-                slope = y * (weight[rows[i]] @ x + bias) - 1.0
+                at = rows[i]
+                y, x = (1.0 if labels[i] else -1.0), ratio[at] / norms[i]
+                slope = y * (weight[at] @ x + bias) - 1.0
                 new = min(max(dual[i] - slope / (x @ x + 1.0), 0.0), caps[i])
                 if (step := (new - dual[i]) * y) != 0.0:
-                    weight[rows[i]] += step * x
+                    weight[at] += step * x
                     bias += step
                     dual[i] = new
         return weight, bias
@@ -118,8 +136,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, how: Quality) -> Model:
     for part in (order[::2], order[1::2]):  # each half is judged by the other's model
         weight, bias = descend(np.setdiff1d(order, part))
         for i in part:
-            r = ratio[rows[i]]
-            margins[i] = weight[rows[i]] @ r / max(np.linalg.norm(r), 1e-9) + bias
+            margins[i] = weight[rows[i]] @ ratio[rows[i]] / norms[i] + bias
     slope, shift = 1.0, 0.0
     targets = labels.astype(float) * 0.998 + 0.001
     design = np.stack([margins, np.ones(len(rows))], 1)
@@ -143,17 +160,15 @@ def score(texts: list[bytes], model: Model, how: Quality) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.slope * (margins + model.bias) + model.shift, -30, 30)))
 
 
-def _pieces(frame: pd.DataFrame, size: int = 1 << 21) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
-    """The frame in parts of about ``size`` bytes of text."""
-    texts = [_bytes(t) for t in frame.text]
-    at = 0
-    while at < len(texts):
-        to, total = at, 0
-        while to < len(texts) and (to == at or total + len(texts[to]) <= size):
-            total += len(texts[to])
-            to += 1
-        yield frame.iloc[at:to], texts[at:to]
-        at = to
+def _pieces(frame: pd.DataFrame, size: int = 1 << 19) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
+    """The frame in parts of about ``size`` bytes of text, each encoded only when it is its turn."""
+    at, texts, total = 0, [], 0
+    for k, text in enumerate(frame.text):
+        texts.append(_bytes(text))
+        total += len(texts[-1])
+        if total >= size or k == len(frame) - 1:
+            yield frame.iloc[at : k + 1], texts
+            at, texts, total = k + 1, [], 0
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Quality = Quality(), *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", held_out: int = 5) -> Model:
@@ -177,8 +192,12 @@ def train(docs: DataFrame, labels: DataFrame, how: Quality = Quality(), *, doc_i
                 found, begins = features(texts, how)
                 yield pd.DataFrame({"doc_id": frame.doc_id.to_numpy(), "label": frame.label.to_numpy(), "slots": [found[a:b].astype(np.int32) for a, b in zip(begins[:-1], begins[1:])]})
 
-    got = rows.mapInPandas(slots, "doc_id long, label int, slots array<int>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
-    return fit([np.asarray(x, np.int64) for x in got.slots], got.label.to_numpy(bool) if len(got) else np.zeros(0, bool), how)
+    # At most 2 * per_class texts' slots, as two flat arrays.
+    got = rows.mapInPandas(slots, "doc_id long, label int, slots array<int>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow().combine_chunks()
+    if not got.num_rows:
+        return fit(Rows.of([]), np.zeros(0, bool), how)
+    lists = got["slots"].chunk(0)
+    return fit(Rows(lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)), got["label"].to_numpy().astype(bool), how)
 
 
 def scored(docs: DataFrame, model: Model, how: Quality = Quality(), *, text: str = "text", score_to: str = "score", predicted_to: str = "predicted") -> DataFrame:

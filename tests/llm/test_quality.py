@@ -28,7 +28,7 @@ def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(0)
     labels = rng.random(200) < 0.7
     rows = [np.unique(np.concatenate((rng.integers(8, 64, 6), [int(y)]))) for y in labels]
-    model = quality.fit(rows, labels, how)
+    model = quality.fit(quality.Rows.of(rows), labels, how)
     margins = np.array([model.weight[0][r].sum() / np.sqrt(model.weight[1][r].sum()) + model.bias for r in rows])
     assert np.mean((margins > 0) == labels) > 0.98
 
