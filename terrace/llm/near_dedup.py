@@ -16,11 +16,13 @@ What follows:
 4.  Buckets that still hold several components are gone over again.  One of at
     most ``reps`` + 1 members is compared in full.  Larger buckets with the same
     most central member make a family; each of its members meets the ``family``
-    most central ones, which costs so many comparisons a member and never the
-    square, and sends each set once a family.
-    A text in a family that is near to none of those, nor to its like in any
-    small bucket, keeps its component though it may be near to another.
-5.  Verified links give components.
+    most central ones first, which joins most of what belongs together.
+5.  Large buckets that hold several components even then are compared in full:
+    the members of such a family outside its largest component meet each other
+    and that component, chunk against chunk, unless their sizes rule a link out.
+    So every two texts that share a table are in one component or were compared.
+    That costs the square only of what is in no common component.
+6.  Verified links give components.
 
 Sets are compared by hashes of their shingles: classes by 128 bits, links by 32,
 where a wrong count within a pair has a chance of about |x-y| * |y-x| / 2**32.
@@ -127,20 +129,45 @@ def overlaps(members: list[np.ndarray], reps: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _linked(members: pd.DataFrame, reps: pd.DataFrame, how: NearDedup) -> pd.DataFrame:
-    """The links (a, b) between a chunk of a family and its most central members, of different components, on full sets."""
-    found = overlaps([np.asarray(g) for g in members.grams], [np.asarray(g) for g in reps.grams]) if len(members) and len(reps) else np.zeros((0, 0), np.int64)
-    x, y = np.nonzero(100 * found >= how.similarity * (members.n.to_numpy()[:, None] + reps.n.to_numpy()[None, :] - found)) if found.size else (np.zeros(0, int), np.zeros(0, int))
-    other = members.comp.to_numpy()[x] != reps.comp.to_numpy()[y]
-    return pd.DataFrame({"a": members.sid.to_numpy()[x][other], "b": reps.sid.to_numpy()[y][other]})
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the edges (a, b), in order, join what the ones before have not joined."""
+    above: dict[int, int] = {}
 
+    def find(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
 
-def _across(keys: DataFrame, sets: DataFrame, links: DataFrame, how: NearDedup) -> DataFrame:
-    """Links (a, b) between components that share a bucket, or a family of large ones with b among its most central members."""
+    out = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        if (x := find(x)) != (y := find(y)):
+            above[x], out[k] = y, True
+    return out
+
+
+def _linked(members: pd.DataFrame, reps: pd.DataFrame, how: NearDedup) -> pd.DataFrame:
+    """Links (a, b) between two chunks of a family on full sets: enough of them to join all components that any link joins."""
+    if not len(members) or not len(reps):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    found = overlaps([np.asarray(g) for g in members.grams], [np.asarray(g) for g in reps.grams])
+    near = 100 * found >= how.similarity * (members.n.to_numpy()[:, None] + reps.n.to_numpy()[None, :] - found)
+    x, y = np.nonzero(near & (members.comp.to_numpy()[:, None] != reps.comp.to_numpy()[None, :]))
+    needed = forest(members.comp.to_numpy()[x], reps.comp.to_numpy()[y])
+    return pd.DataFrame({"a": members.sid.to_numpy()[x[needed]], "b": reps.sid.to_numpy()[y[needed]]})
+
+
+def _mixed(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``keys`` in buckets that hold several components, with comp and the bucket's family."""
     found = components(links).withColumnRenamed("node", "sid")
     placed = keys.join(found, "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("weight", "sid")).alias("top")).where("lo != hi").select("key", F.col("top.sid").alias("family"))
-    open_rows = stored(placed.join(mixed, "key"))
+    return stored(placed.join(mixed, "key"))
+
+
+def _across(keys: DataFrame, sets: DataFrame, links: DataFrame, how: NearDedup) -> DataFrame:
+    """Links (a, b) between components that share a bucket, or a family of large ones with b among its most central members."""
+    open_rows = _mixed(keys, links)
     # Large buckets around one most central member overlap widely: their members meet that family's most central ones once.
     # A member's set is sent once a family, in chunks, and those of the central ones once a chunk.
     families = open_rows.where(F.col("c") > how.reps + 1).select("family", "sid", "n", "comp", "weight").distinct()
@@ -158,6 +185,31 @@ def _across(keys: DataFrame, sets: DataFrame, links: DataFrame, how: NearDedup)
     return cut(out.unionByName(_verified(pairs, sets, how)))
 
 
+def _rest(keys: DataFrame, sets: DataFrame, links: DataFrame, how: NearDedup) -> DataFrame:
+    """Links (a, b) that join all components between which any pair in a common large bucket has a link."""
+    members = _mixed(keys.where(F.col("c") > how.reps + 1), links).select("family", "sid", "n", "comp").distinct()
+    largest = members.groupBy("family", "comp").count().groupBy("family").agg(F.max(F.struct("count", "comp")).alias("most")).select("family", F.col("most.comp").alias("bulk"))
+    # Sets of similarity t have sizes at most a factor 1 / t apart, so they lie in the same band or in neighbouring ones.
+    band = F.floor(F.log("n") / F.log(F.lit(100 / how.similarity)) + F.lit(1e-9)).cast("int")
+    members = members.join(largest, "family").select("family", "sid", "n", "comp", (F.col("comp") == F.col("bulk")).alias("bulk"), band.alias("band"))
+    cells = ["family", "bulk", "band"]
+    # A chunk has about ``chunk`` sets, fewer of long ones.
+    counts = cut(members.groupBy(cells).agg(F.ceil(F.greatest(F.count("*") / how.chunk, F.sum("n") / (1000 * how.chunk))).cast("int").alias("chunks")))
+    numbered = counts.select(*cells, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    x, y = (numbered.select("family", *(F.col(k).alias(f"{k}_{side}") for k in ("bulk", "band", "chunk"))) for side in "xy")
+    order = F.struct("bulk_x", "band_x", "chunk_x") <= F.struct("bulk_y", "band_y", "chunk_y")
+    pairs = x.join(y, "family").where(order & (F.abs(F.col("band_x") - F.col("band_y")) <= 1) & ~(F.col("bulk_x") & F.col("bulk_y")))
+    pairs = cut(pairs.withColumn("pair", F.xxhash64("family", "bulk_x", "band_x", "chunk_x", "bulk_y", "band_y", "chunk_y")))
+    dealt = members.join(counts, cells).withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks").cast("long")).cast("int"))
+    dealt = cut(dealt.drop("chunks"))
+    grams = sets.select("sid", "grams")
+    one, other = (
+        dealt.join(pairs.select("pair", "family", *(F.col(f"{k}_{side}").alias(k) for k in ("bulk", "band", "chunk"))), [*cells, "chunk"]).join(grams, "sid").select("pair", "sid", "n", "comp", "grams").toDF("pair", "sid", "n", "comp", "grams")
+        for side in "xy"
+    )
+    return cut(one.groupBy("pair").cogroup(other.groupBy("pair")).applyInPandas(lambda m, r: _linked(m, r, how), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, how: NearDedup = NearDedup(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_md5, n_shingles, component_id, component, kept.
 
@@ -204,7 +256,8 @@ def near_duplicates(docs: DataFrame, how: NearDedup = NearDedup(), *, doc_id: st
     best = best.groupBy("x", "n_x").agg(F.max(F.struct("met", "w", "y", "n_y")).alias("b")).select("x", "n_x", F.col("b.y").alias("y"), F.col("b.n_y").alias("n_y"))
     links = cut(_verified(best, sets, how))
 
-    links = links.unionByName(_across(keys, sets, links, how))
+    links = cut(links.unionByName(_across(keys, sets, links, how)))
+    links = links.unionByName(_rest(keys, sets, links, how))
 
     found = cut(components(links).withColumnRenamed("node", "sid"))
     named = found.join(classes.select("sid", "least"), "sid").groupBy("root").agg(F.min("least").alias("component_id"))

@@ -57,6 +57,22 @@ def test_agrees_with_all_pairs(spark, shingle, similarity):
     assert result(near_duplicates(documents(spark, rows), how)) == brute(rows, how)
 
 
+def test_large_group_about_the_threshold(spark):
+    r = random.Random(1)
+    base = [f"w{i}" for i in range(204)]
+    rows = []
+    for number in range(200):  # 20 places of two variants each: two texts are near if at most 4 differ, and all share large buckets
+        text = list(base)
+        for place in range(20):
+            if r.random() < 0.5:
+                text[5 + 10 * place] = f"v{place}"
+        rows.append((number, " ".join(text)))
+    how = NearDedup(reps=1, family=2)  # nearly all buckets are large ones, with few members that all others meet first
+    expected = brute(rows, how)
+    assert 2 < len({c for _, _, c in expected}) < 190
+    assert result(near_duplicates(documents(spark, rows), how)) == expected
+
+
 def test_odd_texts(spark):
     found = near_duplicates(documents(spark), NearDedup(shingle=3, similarity=85)).collect()
     by = {(r.doc_id, r.n_shingles): r for r in found}
