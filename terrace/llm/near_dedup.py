@@ -50,7 +50,7 @@ class NearDedup:
 
     shingle: int = 5
     similarity: int = 80
-    width: int = 3
+    width: int = 2  # three is enough from 85 per cent up
     side: int = 10
     reps: int = 24
     family: int = 64

@@ -28,7 +28,7 @@ def query(name: str):
 @query("op8_minhash_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = near_dedup.near_duplicates(docs, near_dedup.NearDedup(shingle=3, similarity=85))
+    found = near_dedup.near_duplicates(docs, near_dedup.NearDedup(shingle=3, similarity=85, width=3))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 

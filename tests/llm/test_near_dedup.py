@@ -73,6 +73,13 @@ def test_large_group_about_the_threshold(spark):
     assert result(near_duplicates(documents(spark, rows), how)) == expected
 
 
+def test_pairs_at_the_threshold_meet_as_surely_at_80_as_at_85():
+    def meet(how):
+        return (1 - (1 - (how.similarity / 100) ** how.width) ** how.side) ** 2
+
+    assert meet(NearDedup()) >= meet(NearDedup(shingle=3, similarity=85, width=3)) > 0.9998
+
+
 def test_odd_texts(spark):
     found = near_duplicates(documents(spark), NearDedup(shingle=3, similarity=85)).collect()
     by = {(r.doc_id, r.n_shingles): r for r in found}
