@@ -91,12 +91,13 @@ def top_k(vectors: DataFrame, how: TopK = TopK(), *, vec_id: str = "vec_id", vec
     """query_id, rank (from 1), vec_id, score for each row whose id is divisible by ``every``, against all rows but those of its own id.
 
     Rows with a null id take no part, nor do vectors that are null or hold a null
-    or non-finite component.  Of several rows with one id the smallest vector
-    counts.  Vectors of different lengths are compared only with their like.
+    or non-finite component.  Every distinct pair of id and vector is a candidate,
+    and what the vectors of one query id find is ranked together.  Vectors of
+    different lengths are compared only with their like.
     """
     spark = prepare(vectors.sparkSession)
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), whole_numbers(F.col(vector), scale).alias("v")).where("id is not null and v is not null and size(v) > 0")
-    rows = cut(rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
+    rows = cut(rows.distinct().withColumn("dim", F.size("v")))
     queries = rows.where(F.col("id") % every == 0)
     n, n_queries = rows.count(), queries.count()
     blocks, query_blocks = max(1, -(-n // how.block)), max(1, -(-n_queries // how.query_block))
@@ -109,7 +110,7 @@ def top_k(vectors: DataFrame, how: TopK = TopK(), *, vec_id: str = "vec_id", vec
             v = np.array(frame.v.tolist(), "<i8").reshape(len(frame), -1)
             return pd.DataFrame([(int(frame.dim[0]), int(frame.block[0]), frame.id.to_numpy("<i8").tobytes(), v.tobytes())], columns=["dim", *names])
 
-        return df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("long")).groupBy("dim", "block").applyInPandas(run, out)
+        return df.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(count)).cast("long")).groupBy("dim", "block").applyInPandas(run, out)
 
     held = packed(rows, blocks, ("block", "ids", "vs"))
     asked = packed(queries, query_blocks, ("query_block", "query_ids", "query_vs"))

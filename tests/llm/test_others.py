@@ -101,6 +101,12 @@ def test_few_vectors_and_none(spark):
     assert exact_topk.top_k(df.limit(0)).count() == 0
 
 
+def test_every_vector_of_a_repeated_id_is_a_candidate(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (2, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in exact_topk.top_k(df).orderBy("rank").collect()]
+    assert got == [(1, 1, 256 * 768), (2, 1, 256 * 512), (3, 2, 0)]
+
+
 def test_reading_stops_early_where_it_can():
     rng = np.random.default_rng(1)
     vectors = rng.integers(0, 3, (4000, 4))
