@@ -98,7 +98,7 @@ _ENDINGS = ("com", "org", "net", "edu", "gov", "de", "fr", "es", "uk", "io")
 _EDGES = "\"'.,;:!?()[]{}<>|*%&#$»«“”"
 _LONGEST_TOKEN = 80
 _AROUND = 40
-_ANCHOR = re.compile(r"[0-9@]+|\bdot\b|" + "|".join(_CUES), re.I)
+_ANCHOR = re.compile(r"[0-9@]+|\b(?:dot|at)\b|" + "|".join(_CUES), re.I)  # finds a place in all that _OPEN finds one in
 _DIGIT_OR_AT = re.compile("[0-9@]")
 _WORD = re.compile(r"\S+")
 
@@ -123,10 +123,7 @@ def token(text: str, a: int, b: int) -> Token:
 
 def may_open(text: str) -> bool:
     """Whether any token can be in an entity; much cheaper than looking for all of them."""
-    if _DIGIT_OR_AT.search(text):
-        return True
-    low = text.lower()
-    return "dot" in low or any(cue in low for cue in _CUES)
+    return bool(_DIGIT_OR_AT.search(text) or _ANCHOR.search(text))
 
 
 def lattices(text: str) -> Iterator[list[Token]]:

@@ -90,3 +90,9 @@ def test_base_spans_stay_and_text_is_redacted(spark):
     assert got[5].n_card == got[6].n_email == 0
     assert pii.find(documents(spark, [])).count() == 0
     assert pii.find(documents(spark)).count() == 12
+
+
+@pytest.mark.parametrize("text", ["please write to jane (at) example.com for more", "please write to jane [at] example.com for more", "they met at, well, home"])
+def test_a_spelled_at_opens_without_another_anchor(text):
+    assert pii.may_open(text)
+    assert any(t.open for tokens in pii.lattices(text) for t in tokens)
