@@ -9,7 +9,10 @@ chance of about 2**-64.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -23,6 +26,17 @@ _IS_SPACE[list(SPACES)] = True
 _POWERS: dict[str, np.ndarray] = {}
 
 
+def pieces(frame: pd.DataFrame, size: int = 1 << 19) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
+    """The frame in parts of about ``size`` bytes of ``text``, each encoded only when it is its turn; null is empty."""
+    at, texts, total = 0, [], 0
+    for k, text in enumerate(frame.text):
+        texts.append(b"" if text is None else text.encode("utf-8", "surrogatepass"))
+        total += len(texts[-1])
+        if total >= size or k == len(frame) - 1:
+            yield frame.iloc[at : k + 1], texts
+            at, texts, total = k + 1, [], 0
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(31))
@@ -58,7 +72,7 @@ def spans_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge[1:] == 1) + 1
 
 
-def hashes_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 21) -> np.ndarray:
+def hashes_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 19) -> np.ndarray:
     """A 64-bit hash of each span; the buffer is worked through in pieces cut between spans, so memory stays bounded."""
     out = np.empty(len(starts), np.uint64)
     at = 0

@@ -13,16 +13,19 @@ What follows:
 2.  Small hashes that no second class has are dropped before keys are formed.
 3.  In every table each class meets the most central one of its bucket (the one
     with the fullest buckets), and its best such partner is verified on full sets.
-4.  Buckets that still hold several components are gone over again.  One of at
-    most ``reps`` + 1 members is compared in full.  Larger buckets with the same
-    most central member make a family; each of its members meets the ``family``
-    most central ones first, which joins most of what belongs together.
-5.  Large buckets that hold several components even then are compared in full:
-    the members of such a family outside its largest component meet each other
-    and that component, chunk against chunk, unless their sizes rule a link out.
-    So every two texts that share a table are in one component or were compared.
-    That costs the square only of what is in no common component.
-6.  Verified links give components.
+    Verified links give a first labelling by components.
+4.  Buckets that then hold several components are gone over again.  In one of at
+    most ``small`` members every two of different components are compared.
+5.  Larger buckets with the same most central member make a family.  First its
+    members are peeled: a link to another component needs ``similarity`` per cent
+    of a member's shingles to occur in other components, so members with more
+    shingles of their own are out, exactly and without meeting anyone.  Those
+    left outside the family's largest component then meet each other and that
+    component, chunk against chunk, unless their sizes rule a link out.
+6.  The new links join the components of the first labelling.
+
+So every two texts that share a table are in one component, were compared, or
+cannot be near; no number of partners or candidates is capped.
 
 Sets are compared by hashes of their shingles: classes by 128 bits, links by 32,
 where a wrong count within a pair has a chance of about |x-y| * |y-x| / 2**32.
@@ -52,8 +55,7 @@ class NearDedup:
     similarity: int = 80
     width: int = 2  # three is enough from 85 per cent up
     side: int = 10
-    reps: int = 24
-    family: int = 64
+    small: int = 25
     chunk: int = 512
     seed: int = 7
 
@@ -62,17 +64,12 @@ class NearDedup:
         return np.random.default_rng(self.seed).integers(2**62, 2**63, (2 * self.side * self.width, 2), np.uint64) | np.uint64(1)
 
 
-def _encoded(texts: pd.Series) -> list[bytes]:
-    return [("" if t is None else t).encode("utf-8", "surrogatepass").translate(hashing.LOWER) for t in texts]
-
-
 def signatures(frames: Iterator[pd.DataFrame], how: NearDedup) -> Iterator[pd.DataFrame]:
     """(doc_id, text_md5, text) to (doc_id, text_md5, n, digest, small): small has the hashes of both collections."""
     ab = how.multipliers
     for whole in frames:
-        for at in range(0, len(whole), 256):
-            frame = whole.iloc[at : at + 256]
-            sets = hashing.shingle_sets(_encoded(frame.text), how.shingle)
+        for frame, texts in hashing.pieces(whole):
+            sets = hashing.shingle_sets([t.translate(hashing.LOWER) for t in texts], how.shingle)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             full = np.flatnonzero(sizes)
             small = np.zeros((len(sets), 2 * how.side), np.uint64)
@@ -99,20 +96,17 @@ def signatures(frames: Iterator[pd.DataFrame], how: NearDedup) -> Iterator[pd.Da
 def shingled(frames: Iterator[pd.DataFrame], how: NearDedup) -> Iterator[pd.DataFrame]:
     """(sid, text) to (sid, grams): the set by 32-bit hashes."""
     for whole in frames:
-        for at in range(0, len(whole), 256):
-            frame = whole.iloc[at : at + 256]
-            sets = hashing.shingle_sets(_encoded(frame.text), how.shingle)
+        for frame, texts in hashing.pieces(whole):
+            sets = hashing.shingle_sets([t.translate(hashing.LOWER) for t in texts], how.shingle)
             yield pd.DataFrame({"sid": frame.sid.to_numpy(), "grams": [(s >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets]})
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, how: NearDedup) -> DataFrame:
-    """The links (a, b) among ``pairs(x, y)``, confirmed on full sets."""
-    one, other = (sets.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("grams").alias(f"grams_{k}")) for k in "xy")
-    sized = pairs.where(100 * F.least("n_x", "n_y") >= how.similarity * F.greatest("n_x", "n_y")).select("x", "y")
+def _verified(pairs: DataFrame, sets: DataFrame, how: NearDedup, *carried: str) -> DataFrame:
+    """Those of ``pairs(x, n_x, y, n_y)`` that are links, confirmed on full sets: (x, y) and the columns named."""
+    one, other = (sets.select(F.col("sid").alias(k), F.col("grams").alias(f"grams_{k}")) for k in "xy")
+    sized = pairs.where(100 * F.least("n_x", "n_y") >= how.similarity * F.greatest("n_x", "n_y"))
     both = sized.join(one, "x").join(other, "y").withColumn("common", F.size(F.array_intersect("grams_x", "grams_y")))
-    return both.where(100 * F.col("common") >= how.similarity * (F.col("n_x") + F.col("n_y") - F.col("common"))).select(
-        F.col("x").alias("a"), F.col("y").alias("b")
-    )
+    return both.where(100 * F.col("common") >= how.similarity * (F.col("n_x") + F.col("n_y") - F.col("common"))).select("x", "y", *carried)
 
 
 def overlaps(members: list[np.ndarray], reps: list[np.ndarray]) -> np.ndarray:
@@ -146,52 +140,50 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _linked(members: pd.DataFrame, reps: pd.DataFrame, how: NearDedup) -> pd.DataFrame:
-    """Links (a, b) between two chunks of a family on full sets: enough of them to join all components that any link joins."""
-    if not len(members) or not len(reps):
+def _linked(members: pd.DataFrame, others: pd.DataFrame, how: NearDedup) -> pd.DataFrame:
+    """Pairs (a, b) of components that a link between two chunks of a family joins, on full sets; no more than join them all."""
+    if not len(members) or not len(others):
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    found = overlaps([np.asarray(g) for g in members.grams], [np.asarray(g) for g in reps.grams])
-    near = 100 * found >= how.similarity * (members.n.to_numpy()[:, None] + reps.n.to_numpy()[None, :] - found)
-    x, y = np.nonzero(near & (members.comp.to_numpy()[:, None] != reps.comp.to_numpy()[None, :]))
-    needed = forest(members.comp.to_numpy()[x], reps.comp.to_numpy()[y])
-    return pd.DataFrame({"a": members.sid.to_numpy()[x[needed]], "b": reps.sid.to_numpy()[y[needed]]})
+    found = overlaps([np.asarray(g) for g in members.grams], [np.asarray(g) for g in others.grams])
+    near = 100 * found >= how.similarity * (members.n.to_numpy()[:, None] + others.n.to_numpy()[None, :] - found)
+    one, other = members.comp.to_numpy(), others.comp.to_numpy()
+    x, y = np.nonzero(near & (one[:, None] != other[None, :]))
+    needed = forest(one[x], other[y])
+    return pd.DataFrame({"a": one[x[needed]], "b": other[y[needed]]})
 
 
-def _mixed(keys: DataFrame, links: DataFrame) -> DataFrame:
+def _mixed(keys: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``keys`` in buckets that hold several components, with comp and the bucket's family."""
-    found = components(links).withColumnRenamed("node", "sid")
     placed = keys.join(found, "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("weight", "sid")).alias("top")).where("lo != hi").select("key", F.col("top.sid").alias("family"))
     return stored(placed.join(mixed, "key"))
 
 
-def _across(keys: DataFrame, sets: DataFrame, links: DataFrame, how: NearDedup) -> DataFrame:
-    """Links (a, b) between components that share a bucket, or a family of large ones with b among its most central members."""
-    open_rows = _mixed(keys, links)
-    # Large buckets around one most central member overlap widely: their members meet that family's most central ones once.
-    # A member's set is sent once a family, in chunks, and those of the central ones once a chunk.
-    families = open_rows.where(F.col("c") > how.reps + 1).select("family", "sid", "n", "comp", "weight").distinct()
-    ranked = families.withColumn("r", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("weight"), "sid"))).where(F.col("r") <= how.family)
-    chunks = families.groupBy("family").agg(F.ceil(F.count("*") / how.chunk).cast("int").alias("chunks"))
-    grams = sets.select("sid", "grams")
-    dealt = families.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks").cast("long")).cast("int"))
-    dealt = dealt.join(grams, "sid").select("family", "chunk", "sid", "n", "comp", "grams")
-    reps = ranked.join(grams, "sid").join(chunks, "family").select("family", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "sid", "n", "comp", "grams")
-    reps = reps.toDF("family", "chunk", "sid", "n", "comp", "grams")  # columns of their own, for the cogroup
-    out = dealt.groupBy("family", "chunk").cogroup(reps.groupBy("family", "chunk")).applyInPandas(lambda m, r: _linked(m, r, how), "a long, b long")
-    small = open_rows.where(F.col("c") <= how.reps + 1)
-    one, other = (small.select("key", F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("comp").alias(f"comp_{k}")) for k in "xy")
-    pairs = one.join(other, "key").where("x < y and comp_x != comp_y").select("x", "y", "n_x", "n_y").distinct()
-    return cut(out.unionByName(_verified(pairs, sets, how)))
-
-
-def _rest(keys: DataFrame, sets: DataFrame, links: DataFrame, how: NearDedup) -> DataFrame:
-    """Links (a, b) that join all components between which any pair in a common large bucket has a link."""
-    members = _mixed(keys.where(F.col("c") > how.reps + 1), links).select("family", "sid", "n", "comp").distinct()
+def _peeled(members: DataFrame, sets: DataFrame, how: NearDedup) -> DataFrame:
+    """``members(family, sid, n, comp)``, with their sets, less those that can have no link to another component of the family."""
+    with_sets = stored(members.join(sets.select("sid", "grams"), "sid"))
+    each = with_sets.select("family", "sid", "n", "comp", F.explode("grams").alias("g"))
+    common = each.groupBy("family", "g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("family", "g")
+    left = each.join(common, ["family", "g"]).groupBy("family", "sid", "n").agg(F.count("*").alias("shared"))
+    left = left.where(100 * F.col("shared") >= how.similarity * F.col("n")).select("family", "sid")
+    return stored(with_sets.join(left, ["family", "sid"]))
+
+
+def _across_small(open_rows: DataFrame, sets: DataFrame, how: NearDedup) -> DataFrame:
+    """Pairs (a, b) of components with a link in a small bucket."""
+    few = open_rows.where(F.col("c") <= how.small)
+    one, other = (few.select("key", F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("comp").alias(f"comp_{k}")) for k in "xy")
+    pairs = one.join(other, "key").where("x < y and comp_x != comp_y").drop("key").distinct()
+    return cut(_verified(pairs, sets, how, "comp_x", "comp_y").select(F.col("comp_x").alias("a"), F.col("comp_y").alias("b")))
+
+
+def _across_large(open_rows: DataFrame, sets: DataFrame, how: NearDedup) -> DataFrame:
+    """Pairs (a, b) that join all components between which any pair in a common large bucket has a link."""
+    members = _peeled(open_rows.where(F.col("c") > how.small).select("family", "sid", "n", "comp").distinct(), sets, how)
     largest = members.groupBy("family", "comp").count().groupBy("family").agg(F.max(F.struct("count", "comp")).alias("most")).select("family", F.col("most.comp").alias("bulk"))
     # Sets of similarity t have sizes at most a factor 1 / t apart, so they lie in the same band or in neighbouring ones.
     band = F.floor(F.log("n") / F.log(F.lit(100 / how.similarity)) + F.lit(1e-9)).cast("int")
-    members = members.join(largest, "family").select("family", "sid", "n", "comp", (F.col("comp") == F.col("bulk")).alias("bulk"), band.alias("band"))
+    members = members.join(largest, "family").select("family", "sid", "n", "comp", "grams", (F.col("comp") == F.col("bulk")).alias("bulk"), band.alias("band"))
     cells = ["family", "bulk", "band"]
     # A chunk has about ``chunk`` sets, fewer of long ones.
     counts = cut(members.groupBy(cells).agg(F.ceil(F.greatest(F.count("*") / how.chunk, F.sum("n") / (1000 * how.chunk))).cast("int").alias("chunks")))
@@ -200,11 +192,9 @@ def _rest(keys: DataFrame, sets: DataFrame, links: DataFrame, how: NearDedup) ->
     order = F.struct("bulk_x", "band_x", "chunk_x") <= F.struct("bulk_y", "band_y", "chunk_y")
     pairs = x.join(y, "family").where(order & (F.abs(F.col("band_x") - F.col("band_y")) <= 1) & ~(F.col("bulk_x") & F.col("bulk_y")))
     pairs = cut(pairs.withColumn("pair", F.xxhash64("family", "bulk_x", "band_x", "chunk_x", "bulk_y", "band_y", "chunk_y")))
-    dealt = members.join(counts, cells).withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks").cast("long")).cast("int"))
-    dealt = cut(dealt.drop("chunks"))
-    grams = sets.select("sid", "grams")
+    dealt = members.join(counts, cells).withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks").cast("long")).cast("int")).drop("chunks")
     one, other = (
-        dealt.join(pairs.select("pair", "family", *(F.col(f"{k}_{side}").alias(k) for k in ("bulk", "band", "chunk"))), [*cells, "chunk"]).join(grams, "sid").select("pair", "sid", "n", "comp", "grams").toDF("pair", "sid", "n", "comp", "grams")
+        dealt.join(pairs.select("pair", "family", *(F.col(f"{k}_{side}").alias(k) for k in ("bulk", "band", "chunk"))), [*cells, "chunk"]).select("pair", "sid", "n", "comp", "grams").toDF("pair", "sid", "n", "comp", "grams")
         for side in "xy"
     )
     return cut(one.groupBy("pair").cogroup(other.groupBy("pair")).applyInPandas(lambda m, r: _linked(m, r, how), "a long, b long"))
@@ -254,18 +244,17 @@ def near_duplicates(docs: DataFrame, how: NearDedup = NearDedup(), *, doc_id: st
     stars = keys.join(top, "key").select(F.col("sid").alias("x"), F.col("n").alias("n_x"), F.col("top.sid").alias("y"), F.col("top.n").alias("n_y"), F.col("top.weight").alias("w")).where("x != y")
     best = stars.groupBy("x", "n_x", "y", "n_y").agg(F.count("*").alias("met"), F.max("w").alias("w"))
     best = best.groupBy("x", "n_x").agg(F.max(F.struct("met", "w", "y", "n_y")).alias("b")).select("x", "n_x", F.col("b.y").alias("y"), F.col("b.n_y").alias("n_y"))
-    links = cut(_verified(best, sets, how))
+    links = _verified(best, sets, how).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-    links = cut(links.unionByName(_across(keys, sets, links, how)))
-    links = links.unionByName(_rest(keys, sets, links, how))
-
-    found = cut(components(links).withColumnRenamed("node", "sid"))
+    first = components(links).withColumnRenamed("node", "sid")
+    open_rows = _mixed(keys, first)
+    joined = components(_across_small(open_rows, sets, how).unionByName(_across_large(open_rows, sets, how))).select(F.col("node").alias("comp"), F.col("root").alias("joined"))
+    found = classes.select("sid").join(first, "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+    found = cut(found.join(joined, "comp", "left").select("sid", F.coalesce("joined", "comp").alias("root")))
     named = found.join(classes.select("sid", "least"), "sid").groupBy("root").agg(F.min("least").alias("component_id"))
     heads = classes.select(F.col("sid").alias("root"), F.col("digest").alias("component"))
     placed = found.join(named, "root").join(heads, "root").select("sid", "component_id", "component")
-    linked = classes.select("sid", "digest", "least").join(placed, "sid", "left").select(
-        "digest", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "digest").alias("component")
-    )
+    linked = classes.select("sid", "digest").join(placed, "sid").select("digest", "component_id", "component")
     filled = signed.where("n > 0").drop("small").join(linked, "digest").select("doc_id", "text_md5", F.col("n").alias("n_shingles"), "component_id", "component")
     blank = signed.where("n = 0").select("doc_id", "text_md5", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.unhex(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).alias("component"))
     return filled.unionByName(blank).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

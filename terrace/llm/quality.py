@@ -54,10 +54,6 @@ _SHAPE[ord("0") : ord("9") + 1] = ord("0")
 _SAME_WORD = np.uint64(0x1234567)
 
 
-def _bytes(text: str | None) -> bytes:
-    return b"" if text is None else text.encode("utf-8", "surrogatepass")
-
-
 def features(texts: list[bytes], how: Quality) -> tuple[np.ndarray, np.ndarray]:
     """The distinct slots of each text, texts in order, and where each text's begin (one more entry for the end)."""
     buf, begins = hashing.buffer_of(texts)
@@ -160,17 +156,6 @@ def score(texts: list[bytes], model: Model, how: Quality) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.slope * (margins + model.bias) + model.shift, -30, 30)))
 
 
-def _pieces(frame: pd.DataFrame, size: int = 1 << 19) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
-    """The frame in parts of about ``size`` bytes of text, each encoded only when it is its turn."""
-    at, texts, total = 0, [], 0
-    for k, text in enumerate(frame.text):
-        texts.append(_bytes(text))
-        total += len(texts[-1])
-        if total >= size or k == len(frame) - 1:
-            yield frame.iloc[at : k + 1], texts
-            at, texts, total = k + 1, [], 0
-
-
 def train(docs: DataFrame, labels: DataFrame, how: Quality = Quality(), *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", held_out: int = 5) -> Model:
     """Fit on labelled rows whose crc32 of the id as text, modulo ``held_out``, is not 0 (all of them if held_out is 0).
 
@@ -188,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Quality = Quality(), *, doc_i
 
     def slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in frames:
-            for frame, texts in _pieces(whole):
+            for frame, texts in hashing.pieces(whole):
                 found, begins = features(texts, how)
                 yield pd.DataFrame({"doc_id": frame.doc_id.to_numpy(), "label": frame.label.to_numpy(), "slots": [found[a:b].astype(np.int32) for a, b in zip(begins[:-1], begins[1:])]})
 
@@ -212,7 +197,7 @@ def scored(docs: DataFrame, model: Model, how: Quality = Quality(), *, text: str
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             frame = pd.DataFrame({"text": batch})
-            yield pd.Series(np.concatenate([np.zeros(0), *(score(texts, shared.value, how) for _, texts in _pieces(frame))]))
+            yield pd.Series(np.concatenate([np.zeros(0), *(score(texts, shared.value, how) for _, texts in hashing.pieces(frame))]))
 
     found = docs.withColumn(score_to, run(F.col(text).cast("string")))
     return found.withColumn(predicted_to, (F.col(score_to) >= how.threshold).cast("int"))
