@@ -235,7 +235,7 @@ def uuidv7_encode(spark: SparkSession, t: Callable) -> DataFrame:
 def uuidv7_decode(spark: SparkSession, t: Callable) -> DataFrame:
     """Version 7 is read back; the same digits as version 4 are not."""
     ids = t("events").select("event_id", K.uuid7_of(_position()).alias("id"))
-    return ids.select("event_id", K.micros_of_uuid7(F.upper("id")).alias("at_us"), K.micros_of_uuid7(F.replace("id", F.lit("-7000-"), F.lit("-4000-"))).alias("other"))
+    return ids.select("event_id", K.micros_of_uuid7(F.upper("id")).alias("at_us"), K.micros_of_uuid7(F.overlay("id", F.lit("4"), F.lit(15), F.lit(1))).alias("other"))
 
 
 @query("SELECT count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15'")
