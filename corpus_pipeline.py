@@ -20,7 +20,8 @@ from terrace.llm.queries import tokenizer_path
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it is trained on the labelled rows of ``documents``."""
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, score_to="__score", predicted_to="__predicted").where("__predicted = 1").drop("__score", "__predicted")
+    found = quality.scored(docs, model)
+    return found.where(F.col(found.columns[-1]) == 1).drop(*found.columns[-2:])
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +37,8 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by ``benchmark``."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    """Documents that hold no window of ``benchmark``, however long they are."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0")
     tainted = found.select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__text_md5")).distinct()
     keyed = docs.withColumn("__md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     return keyed.join(tainted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__text_md5")), "left_anti").drop("__md5")
@@ -45,7 +46,8 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in ``text`` replaced by its kind, ``n_chars`` following."""
-    found = pii.find(docs, to="__pii").withColumn("text", F.col("__pii.clean")).drop("__pii")
+    found = pii.find(docs, clean=True)
+    found = found.withColumn("text", F.col(found.columns[-1]).getField("clean")).drop(found.columns[-1])
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 

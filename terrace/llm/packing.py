@@ -26,7 +26,14 @@ from pyspark.sql import functions as F
 from terrace.llm.common import cut, prepare
 
 _ENCODERS: dict[str, Callable[[str], list[int]]] = {}
-_TRIAL = "The  cats' don't\n\n <|endoftext|> 12,345 über naïve\t你好 \U0001f600x   "
+#: What the fast encoder has to agree on with the tokenizers library before it is used.
+_TRIAL = (
+    "The  cats' don't\n\n 12,345 über naïve\t你好 \U0001f600x   ",
+    "I'LL we've it's 'S ''re\r\n\r\n\x0b x\x00\x7f\x85\xa0\u2003end\u200b \ufeff",
+    "٣٤٥ ¼ ⅷ x² 3.14e-10 0x1F _a__b- --- ... !!\n\t \n",
+    "e\u0301 क्षि ไทย עברית 한국어 \U0001f468\u200d\U0001f469 \ud7ff\ue000\uffff\U0010ffff",
+    "aaaa" * 60 + " " * 70 + "\n" * 30 + "=" * 90,
+)
 
 
 @dataclass(frozen=True)
@@ -39,42 +46,50 @@ class Packing:
 
 
 def encoder(path: str) -> Callable[[str], list[int]]:
-    """Text to ids by the tokenizers file at ``path``; special tokens' strings are ordinary text.
+    """Text to ids as the tokenizers library gives them for the file at ``path`` without adding special tokens.
 
     A byte-level BPE file is read into an encoder that gives the same ids several
-    times as fast; it is used if it agrees on a trial text.
+    times as fast, if it agrees on the trial texts.  Texts in which a special
+    token is written out always go to the library.
     """
     if path not in _ENCODERS:
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
+        whole: list[Tokenizer] = []
 
         def slow(text: str) -> list[int]:
-            return whole.encode(text, add_special_tokens=False).ids
+            if not whole:
+                whole.append(Tokenizer.from_file(path))
+            return whole[0].encode(text, add_special_tokens=False).ids
 
         _ENCODERS[path] = slow
         try:
-            fast = _byte_bpe(path)
-            if fast(_TRIAL) == slow(_TRIAL):
-                _ENCODERS[path] = fast
+            fast, special = _byte_bpe(path)
         except (KeyError, ValueError):  # another kind of file
-            pass
+            return slow
+        if all(fast(t) == slow(t) for t in _TRIAL):
+
+            def quick(text: str) -> list[int]:
+                return slow(text) if any(x in text for x in special) else fast(text)
+
+            _ENCODERS[path] = quick
+            whole.clear()  # read again if a text needs it
     return _ENCODERS[path]
 
 
-def _byte_bpe(path: str) -> Callable[[str], list[int]]:
+def _byte_bpe(path: str) -> tuple[Callable[[str], list[int]], list[str]]:
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        found = json.load(f)
+    model, special_texts = found["model"], [t["content"] for t in found["added_tokens"]]
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(printable)]
     byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
     special = len(model["merges"]) + 256
     ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if i < special}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, special_texts
 
 
 def pieces_of(n: int, length: int) -> list[tuple[int, int]]:

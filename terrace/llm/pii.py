@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import prepare
+from terrace.llm.common import free_name, prepare
 
 #: The order of kinds where two spans begin at one place.
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn")
@@ -41,6 +42,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
+_DIGITS = re.compile("[0-9]+")
 
 
 def luhn(digits: str) -> bool:
@@ -70,7 +72,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     found = [(a, b, "email") for a, b in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         if "." in text:
-            found += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            found += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -92,15 +94,19 @@ def listed(spans: Iterable[tuple[int, int, str]]) -> str:
 # --- candidate tokens -------------------------------------------------------------------------------------------------
 
 _CUES = ("password", "passwd", "secret", "token", "apikey", "api_key", "akia")
-_OPEN = re.compile(r"[0-9@]|\bdot\b|\bat\b(?=[\])} ]|$)|" + "|".join(_CUES), re.I)
 _ARTICLES = ("the", "a", "an", "this", "that")
 _ENDINGS = ("com", "org", "net", "edu", "gov", "de", "fr", "es", "uk", "io")
 _EDGES = "\"'.,;:!?()[]{}<>|*%&#$»«“”"
-_LONGEST_TOKEN = 80
 _AROUND = 40
-_ANCHOR = re.compile(r"[0-9@]+|\b(?:dot|at)\b|" + "|".join(_CUES), re.I)  # finds a place in all that _OPEN finds one in
-_DIGIT_OR_AT = re.compile("[0-9@]")
+_RUN = re.compile("[0-9@]+")
+#: Of lower-cased text, each tried only where one of the words occurs.  A spelled-out at counts where a host and a dot, spelled out or not, follow it.
+_SPELLED = (
+    (_CUES, re.compile("|".join(_CUES))),
+    (("dot",), re.compile(r"\bdot\b")),
+    (("at",), re.compile(r"\bat\b(?=\s*[\])}]?\s*[a-z0-9-]+\s*(?:[\[({]\s*)?(?:dot\b|\.[a-z0-9]))")),
+)
 _WORD = re.compile(r"\S+")
+_SPACE = re.compile(r"\s")
 
 
 @dataclass(frozen=True)
@@ -111,38 +117,45 @@ class Token:
     open: bool
 
 
-def token(text: str, a: int, b: int) -> Token:
-    """The token at a .. b without the signs around it; brackets that belong to a number or a spelled-out at stay."""
+def token(text: str, a: int, b: int, anchors: list[int]) -> Token:
+    """The token at a .. b without the signs around it; brackets that belong to a number or a spelled-out at stay.  One with an anchor in it is open."""
     while a < b and text[a] in _EDGES and text[a] not in "([":
         a += 1
     while b > a and text[b - 1] in _EDGES and text[b - 1] not in ")]":
         b -= 1
-    part = text[a:b]
-    return Token(a, b, part, b - a <= _LONGEST_TOKEN and bool(_OPEN.search(part)))
+    return Token(a, b, text[a:b], bisect_left(anchors, a) < bisect_left(anchors, b))
 
 
-def may_open(text: str) -> bool:
-    """Whether any token can be in an entity; much cheaper than looking for all of them."""
-    return bool(_DIGIT_OR_AT.search(text) or _ANCHOR.search(text))
+def anchors_of(text: str) -> list[tuple[int, int]]:
+    """Where whatever opens a token begins and ends, in order."""
+    low = text.lower()
+    if len(low) != len(text):  # a few capitals become two characters
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+    found = [m.span() for m in _RUN.finditer(low)]
+    for words, pattern in _SPELLED:
+        if any(w in low for w in words):
+            found += [m.span() for m in pattern.finditer(low)]
+    return sorted(found)
 
 
 def lattices(text: str) -> Iterator[list[Token]]:
-    """Tokens, split at white space, of the stretches around what may be personal data."""
+    """Tokens, split at white space, of the stretches around what may be personal data; a token is never cut, however long."""
     windows: list[list[int]] = []
-    for m in _ANCHOR.finditer(text):
-        low, high = max(0, m.start() - _AROUND), min(len(text), m.end() + _AROUND)
+    found = anchors_of(text)
+    anchors = [a for a, _ in found]
+    for a, b in found:
+        low, high = max(0, a - _AROUND), min(len(text), b + _AROUND)
         if windows and low <= windows[-1][1]:
-            windows[-1][1] = high
+            if high <= windows[-1][1]:
+                continue
+            low = windows.pop()[0]
         else:
-            windows.append([low, high])
+            while low and not text[low - 1].isspace():  # the window before ends at white space, so this goes over no token twice
+                low -= 1
+        end = _SPACE.search(text, high)
+        windows.append([low, end.start() if end else len(text)])
     for low, high in windows:
-        stop = max(0, low - _LONGEST_TOKEN)
-        while low > stop and not text[low - 1].isspace():
-            low -= 1
-        stop = min(len(text), high + _LONGEST_TOKEN)
-        while high < stop and not text[high].isspace():
-            high += 1
-        yield [token(text, *m.span()) for m in _WORD.finditer(text, low, high)]
+        yield [token(text, *m.span(), anchors) for m in _WORD.finditer(text, low, high)]
 
 
 # --- whole-span features ----------------------------------------------------------------------------------------------
@@ -161,7 +174,8 @@ def shape(text: str) -> str:
 def span_features(tokens: list[Token], i: int, j: int) -> list[str]:
     """What can be said of tokens i .. j-1 as one segment."""
     whole = " ".join(t.text for t in tokens[i:j])
-    digits = [c for c in whole if "0" <= c <= "9"]
+    signs = set(whole)
+    digits = "".join(_DIGITS.findall(whole))
     n = len(digits)
     low = whole.lower()
     before = tokens[i - 1].text.lower().strip(_EDGES) if i else "^"
@@ -169,12 +183,13 @@ def span_features(tokens: list[Token], i: int, j: int) -> list[str]:
         f"tokens={j - i}",
         f"digits={min(n, 20)}",
         f"before={before}",
+        f"ends={'open' if tokens[i].open else 'word'},{'open' if tokens[j - 1].open else 'word'}",
         f"shape={shape(whole)}" if len(whole) < 40 else "shape=long",
-        f"signs={''.join(sorted({c for c in whole if not c.isalnum() and not c.isspace()}))}",
-        f"letters={'none' if not any(c.isalpha() for c in whole) else 'all' if whole.isalpha() else 'some'}",
+        f"signs={''.join(sorted(c for c in signs if not c.isalnum() and not c.isspace()))}",
+        f"letters={'none' if not any(c.isalpha() for c in signs) else 'all' if all(c.isalpha() for c in signs) else 'some'}",
     ]
     if 12 <= n <= 19:
-        out.append(f"luhn={luhn(''.join(digits))}")
+        out.append(f"luhn={luhn(digits)}")
     if re.fullmatch(r"[a-z0-9._-]+\s*(?:[\[({]\s*at\s*[\])}]|\bat\b|@)\s*[a-z0-9-]+(?:\s*(?:[\[({]\s*dot\s*[\])}]|\bdot\b|\.)\s*[a-z0-9-]+)+", low) and (" dot " in low or "dot)" in low or "dot]" in low or "at)" in low or "at]" in low):
         parts = re.findall("[a-z0-9-]+", low)
         out += ["spelled address", f"ending={parts[-1] if parts[-1] in _ENDINGS else len(parts[-1])}", f"host={parts[-3] in _ARTICLES}"]
@@ -286,7 +301,8 @@ def examples(n: int, longest: int, seed: int = 5) -> list[tuple[list[Token], set
         ("email", spelled),
         ("phone", lambda: pick(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}"]).format(digits(3), digits(3), digits(4))),
         ("ssn", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"),
-        ("secret", lambda: pick(["password", "passwd", "secret", "token", "api_key"]) + pick(["=", ":"]) + hexes(int(rng.integers(10, 24)))),
+        ("secret", lambda: pick(["password", "passwd", "secret", "token", "api_key"]) + pick(["=", ":"]) + hexes(int(rng.integers(*pick([(10, 24), (24, 200)]))))),
+        ("secret", lambda: pick(["password", "secret", "token", "api_key"]) + pick([" = ", ": ", " : "]) + '"' + hexes(int(rng.integers(16, 64)))),
         ("secret", lambda: "AKIA" + "".join(pick(string.ascii_uppercase + string.digits) for _ in range(16))),
     ]
     harmless = [
@@ -303,7 +319,7 @@ def examples(n: int, longest: int, seed: int = 5) -> list[tuple[list[Token], set
         lambda: f"a dot {letters(3, 8)}",
         lambda: f"the {pick(_CUES[:4])} {letters(3, 9)}",
         lambda: letters(2, 6) + digits(2),
-        lambda: hexes(16),
+        lambda: hexes(pick([16, 16, 32, 40, 64, 128])),
         lambda: f"{pick(['version', 'Version'])} {digits(1)}.{digits(1)}",
         lambda: "@" + letters(3, 9),
         lambda: f"{letters(3, 8)} at {pick(_ARTICLES)} dot {pick(['com', 'org', letters(3, 8)])}",
@@ -312,7 +328,7 @@ def examples(n: int, longest: int, seed: int = 5) -> list[tuple[list[Token], set
     out = []
     for k in range(n):
         kind, make = pick(personal) if k % 2 else ("", pick(harmless))
-        value = make()
+        value = make() if kind else f" {letters(2, 6)} ".join(pick(["{}", "{},", "{}:"]).format(pick(harmless)()) for _ in range(int(rng.integers(1, 4))))
         left = " ".join(letters(2, 9) for _ in range(3))
         line = f"{left} {value}{pick(['', '.', ','])} " + " ".join(letters(2, 9) for _ in range(3))
         a = len(left) + 1
@@ -330,8 +346,6 @@ def model(n: int = 1200, longest: int = 6) -> SemiCrf:
 def all_spans(text: str, crf: SemiCrf) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and those with the model's, none of which touches a base span."""
     base = base_spans(text)
-    if not may_open(text):
-        return base, base
     added = []
     for tokens in lattices(text):
         for i, j, kind in crf.decode(tokens):
@@ -351,24 +365,27 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find(docs: DataFrame, *, text: str = "text", to: str = "pii") -> DataFrame:
-    """All rows and columns of ``docs`` with one more, a struct: n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, clean.
+def find(docs: DataFrame, *, text: str = "text", to: str = "pii", clean: bool = False) -> DataFrame:
+    """All rows and columns of ``docs`` with one more, a struct: n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, and clean if asked for.
 
     Spans are kind:start:end, in code points, end exclusive.  A null text is taken
     as empty and has no span; an empty list's digest is that of the empty string.
-    clean is the text without the spans (null stays null).
+    clean is the text without the spans (null stays null).  The new column is the
+    last; where ``docs`` has one named ``to`` already, that stays and the new one's
+    name gets underscores before it.
     """
     prepare(docs.sparkSession)
     crf = model()  # trained once, on the driver; a few thousand weights
+    names = [*(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans", *["clean"] * clean]
 
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, clean string")
+    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", clean string" * clean)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for t in batch:
                 base, every = all_spans("" if t is None else t, crf)
                 counts = [sum(k == kind for _, _, k in base) for kind in KINDS[:4]]
-                rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(every), None if t is None else redacted(t, every)))
-            yield pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans", "clean"])
+                rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(every), *[None if t is None else redacted(t, every)] * clean))
+            yield pd.DataFrame(rows, columns=names)
 
-    return docs.withColumn(to, run(F.col(text).cast("string")))
+    return docs.withColumn(free_name(docs, to), run(F.col(text).cast("string")))

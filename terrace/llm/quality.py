@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm import hashing
-from terrace.llm.common import prepare
+from terrace.llm.common import free_name, prepare
 
 
 @dataclass(frozen=True)
@@ -160,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, how: Quality = Quality(), *, doc_i
     """Fit on labelled rows whose crc32 of the id as text, modulo ``held_out``, is not 0 (all of them if held_out is 0).
 
     Labels other than 0 and 1 and null ids are passed over; an id with several
-    labels counts as 1 if any is.  At most ``per_class`` ids of each class are used.
+    labels counts as 1 if any is; of several texts of an id the smallest is used.
+    At most ``per_class`` ids of each class are used.
     """
     spark = prepare(docs.sparkSession)
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
@@ -170,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Quality = Quality(), *, doc_i
     kept = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.per_class) for y in (0, 1)]
     ids = spark.createDataFrame([tuple(r) for part in kept for r in part.collect()], "doc_id long, label int")  # 2 * per_class rows at most
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in frames:
@@ -178,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Quality = Quality(), *, doc_i
                 yield pd.DataFrame({"doc_id": frame.doc_id.to_numpy(), "label": frame.label.to_numpy(), "slots": [found[a:b].astype(np.int32) for a, b in zip(begins[:-1], begins[1:])]})
 
     # At most 2 * per_class texts' slots, as two flat arrays.
-    got = rows.mapInPandas(slots, "doc_id long, label int, slots array<int>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow().combine_chunks()
+    got = rows.mapInPandas(slots, "doc_id long, label int, slots array<int>").orderBy("doc_id").toArrow().combine_chunks()
     if not got.num_rows:
         return fit(Rows.of([]), np.zeros(0, bool), how)
     lists = got["slots"].chunk(0)
@@ -188,7 +190,9 @@ def train(docs: DataFrame, labels: DataFrame, how: Quality = Quality(), *, doc_i
 def scored(docs: DataFrame, model: Model, how: Quality = Quality(), *, text: str = "text", score_to: str = "score", predicted_to: str = "predicted") -> DataFrame:
     """All rows and columns of ``docs`` with two more: a score from 0 to 1 and the prediction, 0 or 1.
 
-    Null and empty texts have no n-gram and get the score of the bias alone.
+    Null and empty texts have no n-gram and get the score of the bias alone.  The
+    new columns are the last; a column of ``docs`` that has such a name stays, and
+    the new one's gets underscores before it.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)  # two floats a slot: 2 MB
@@ -199,5 +203,6 @@ def scored(docs: DataFrame, model: Model, how: Quality = Quality(), *, text: str
             frame = pd.DataFrame({"text": batch})
             yield pd.Series(np.concatenate([np.zeros(0), *(score(texts, shared.value, how) for _, texts in hashing.pieces(frame))]))
 
+    score_to = free_name(docs, score_to)
     found = docs.withColumn(score_to, run(F.col(text).cast("string")))
-    return found.withColumn(predicted_to, (F.col(score_to) >= how.threshold).cast("int"))
+    return found.withColumn(free_name(found, predicted_to), (F.col(score_to) >= how.threshold).cast("int"))

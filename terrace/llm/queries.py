@@ -81,7 +81,7 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN ids USING (doc_id)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @query("op4_semicrf_pii")

@@ -13,10 +13,9 @@ def test_fast_ids_are_the_tokenizers(sf_dir):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(tokenizer_path())
-    slow.encode_special_tokens = True
-    texts = [t for t in pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist() if t][:60] + [packing._TRIAL, "<|endoftext|>", "​  \r\n\t x", "😀👩‍👩‍👧 ñ̃", "a" * 3000]
+    texts = [t for t in pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist() if t][:60] + [*packing._TRIAL, "<|endoftext|>", "a<|endoftext|> <|endoftext|>b", "​  \r\n\t x", "😀👩‍👩‍👧 ñ̃", "a" * 3000]
     fast = packing.encoder(tokenizer_path())
-    assert fast.__name__ == "encode_ordinary"
+    assert fast.__name__ == "quick"
     for t in texts:
         assert fast(t) == slow.encode(t, add_special_tokens=False).ids
 

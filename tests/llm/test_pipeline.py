@@ -28,7 +28,7 @@ def test_stages(spark, sf_dir):
             from tests.llm.test_decontaminate import brute as hits
 
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-            assert kept == {h[0] for h in hits(list(everything.items()), items) if not h[5]}
+            assert kept == {h[0] for h in hits(list(everything.items()), items) if not h[2]}
         else:
             clean = {r.doc_id: (r.text, r.n_chars) for r in after.collect()}
             for d, t in everything.items():
