@@ -17,9 +17,9 @@ What follows:
 4.  Buckets that then hold several components are gone over again.  In one of at
     most ``small`` members every two of different components are compared.
 5.  Larger buckets with the same most central member make a family.  First its
-    members are peeled: a link to another component needs ``similarity`` per cent
-    of a member's shingles to occur in other components, so members with more
-    shingles of their own are out, exactly and without meeting anyone.  Those
+    members are peeled: a link needs ``similarity`` per cent of a member's shingles
+    to be in another member, so one with more shingles that only it has is out,
+    exactly and without meeting anyone.  Those
     left outside the family's largest component then meet each other and that
     component, chunk against chunk, unless their sizes rule a link out.
 6.  The new links join the components of the first labelling.
@@ -160,13 +160,13 @@ def _mixed(keys: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _peeled(members: DataFrame, sets: DataFrame, how: NearDedup) -> DataFrame:
-    """``members(family, sid, n, comp)``, with their sets, less those that can have no link to another component of the family."""
+    """``members(family, sid, n, comp)``, with their sets, less those with so many shingles of their own that no link is possible."""
     with_sets = stored(members.join(sets.select("sid", "grams"), "sid"))
-    each = with_sets.select("family", "sid", "n", "comp", F.explode("grams").alias("g"))
-    common = each.groupBy("family", "g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("family", "g")
-    left = each.join(common, ["family", "g"]).groupBy("family", "sid", "n").agg(F.count("*").alias("shared"))
-    left = left.where(100 * F.col("shared") >= how.similarity * F.col("n")).select("family", "sid")
-    return stored(with_sets.join(left, ["family", "sid"]))
+    each = with_sets.select("family", "sid", F.explode("grams").alias("g"))
+    alone = each.groupBy("family", "g").agg(F.count("*").alias("c"), F.min("sid").alias("sid")).where("c = 1")
+    own = alone.groupBy("family", "sid").agg(F.count("*").alias("own"))
+    left = with_sets.join(own, ["family", "sid"], "left").where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= how.similarity * F.col("n"))
+    return stored(left.drop("own"))
 
 
 def _across_small(open_rows: DataFrame, sets: DataFrame, how: NearDedup) -> DataFrame:
