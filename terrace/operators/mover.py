@@ -30,6 +30,16 @@ def in_window(df: DataFrame, scheme: Range, start: int, end: int) -> DataFrame:
     return df.where(whole_key(scheme) & (at >= start) & (at < end))
 
 
+def first_rows(df: DataFrame, n: int) -> Column:
+    """Whether a row is among the first ``n`` of ``df`` by __file and __row: a batch that is the same whenever it is worked out."""
+    for file, count in df.groupBy("__file").count().orderBy("__file").collect():  # a row a file
+        if n < count:
+            last = df.where(F.col("__file") == file).orderBy("__row").limit(n).agg(F.max("__row")).first()[0]
+            return (F.col("__file") < file) | ((F.col("__file") == file) & (F.col("__row") <= F.lit(-1 if last is None else last)))
+        n -= count
+    return F.lit(True)
+
+
 def drained(df: DataFrame, scheme: Level, table: str) -> DataFrame:
     """The rows of DEFAULT that belong elsewhere, each with its partition; all windows in one pass."""
     return route(df, scheme, table=table).where(F.col("partition") != f"{table}{SEPARATOR}{DEFAULT}")

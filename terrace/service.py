@@ -5,10 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import time
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -24,7 +24,7 @@ from terrace.plans.planner import EXPLICIT, MAINTAIN, RECONCILE, Context, Plan
 from terrace.plans.policy import SqlPredicate, is_closed, rules_of
 from terrace.plans.scheme import List, Range, Table
 from terrace.sources.catalogue import listing
-from terrace.sources.store import ATTACHED, DETACHED, Store, merged
+from terrace.sources.store import ATTACHED, DETACHED, Lock, Store, merged
 
 
 @dataclass
@@ -47,6 +47,8 @@ class Moved:
     batches: int = 0
     partitions: list[str] = field(default_factory=list)
     complete: bool = True
+    by_window: dict[str, int] = field(default_factory=dict)
+    issues: list[dict] = field(default_factory=list)
 
 
 class LifecycleService:
@@ -85,12 +87,26 @@ class LifecycleService:
         return self.spark.createDataFrame([tuple(r.get(f.name) for f in names.fields) for r in rows], names)
 
     def append(self, df: DataFrame) -> int:
-        """Write rows to the leaves that exist, all others to DEFAULT, and publish them together.  The new version."""
-        before = self.store.version
-        entries = self.store.entries(before)
-        known = entries.where("folders is not null and state = 'attached'").select(F.col("name").alias("partition"))
-        routed = route(df, self.table.scheme, table=self.table.name, known=known)
-        return self._published(self.store.stage(routed.withColumn("partition", F.when(F.col("partition") == f"{self.table.name}{SEPARATOR}{DEFAULT}", self.default_name).otherwise(F.col("partition"))), "partition"), before)
+        """Write rows to the leaves that exist, all others to DEFAULT, and publish them together.  The new version.
+
+        Where another writer publishes first, the staged files are published on top of
+        its version, or staged anew if the leaves are no longer the same.
+        """
+        staged, home, routed_to = None, f"{self.table.name}{SEPARATOR}{DEFAULT}", None
+        while True:
+            before = self.store.version
+            known = self.store.entries(before).where("folders is not null and state = 'attached'").select(F.col("name").alias("partition"))
+            leaves = known.agg(F.count("*"), F.sum(F.xxhash64("partition").cast("decimal(38,0)"))).first()
+            if staged is None or leaves != routed_to:
+                self.store.drop_folders(list((staged or {}).values()))
+                routed = route(df, self.table.scheme, table=self.table.name, known=known)
+                staged = self.store.stage(routed.withColumn("partition", F.when(F.col("partition") == home, self.default_name).otherwise(F.col("partition"))), "partition")
+                routed_to = leaves
+            try:
+                return self._published(staged, before)
+            except PlanStale:
+                if self.store.version == before:
+                    raise
 
     def _published(self, staged: Mapping[str, str], before: int) -> int:
         entries = self.store.entries(before)
@@ -155,17 +171,26 @@ class LifecycleService:
         answers = self._answers([r for r in rules_of(self.table.lifecycle) if isinstance(r, SqlPredicate)])
         return facts.join(answers, "name", "left").select("name", "size_bytes", "row_estimate", "referenced", "predicates")
 
-    def _answers(self, predicates: list[SqlPredicate]) -> DataFrame:
-        rows = []
-        names = [r.name for r in self.store.entries().where((F.col("parent_name") == self.table.name) & (F.col("kind") != "default")).collect()] if predicates else []
-        for name in names:
-            view = f"terrace_{uuid.uuid4().hex}"
-            self.store.read(name).createOrReplaceTempView(view)
+    def _answers(self, predicates: list[SqlPredicate], together: int = 50) -> DataFrame:
+        """What each predicate says of each partition; one statement asks about ``together`` partitions."""
+        kinds = "name string, predicates map<string,boolean>"
+        names = [r.name for r in self.store.entries().where((F.col("parent_name") == self.table.name) & (F.col("kind") != "default")).select("name").collect()] if predicates else []
+        found = [self.spark.createDataFrame([], kinds)]
+        for at in range(0, len(names), together):
+            views: list[str] = []
             try:
-                rows.append((name, {p.id: bool(self.spark.sql(p.sql.replace("{partition}", view)).first()[0]) for p in predicates}))
+                asked = []
+                for name in names[at : at + together]:
+                    views.append(f"terrace_{uuid.uuid4().hex}")
+                    self.store.read(name).createOrReplaceTempView(views[-1])
+                    answers = ", ".join(f"'{p.id}', CAST(({p.sql.replace('{partition}', views[-1])}) AS BOOLEAN)" for p in predicates)
+                    asked.append(f"SELECT '{name}' AS name, map({answers}) AS predicates")
+                rows = self.spark.sql(" UNION ALL ".join(asked)).collect()  # a row a partition
             finally:
-                self.spark.catalog.dropTempView(view)
-        return self.spark.createDataFrame(rows, "name string, predicates map<string,boolean>")
+                for view in views:
+                    self.spark.catalog.dropTempView(view)
+            found.append(self.spark.createDataFrame([(r.name, {k: bool(v) for k, v in r.predicates.items()}) for r in rows], kinds))
+        return merged(found)
 
     def cursors(self) -> dict[str, int]:
         """The largest key of each integer axis."""
@@ -185,15 +210,22 @@ class LifecycleService:
     # --- applying -----------------------------------------------------------------------------------------------------
 
     def apply(self, plan: Plan, *, destructive: bool = True, continue_on_error: bool = True) -> Result:
-        """Follow a plan in order and publish one version; what a hook refuses is left out and reported."""
+        """Follow a plan in order and publish one version; an operation that fails is left out and reported.
+
+        A hook that fails after its operation is reported too, but the operation stays.
+        """
+        return self._applied(plan, destructive, continue_on_error)[0]
+
+    def _applied(self, plan: Plan, destructive: bool = True, continue_on_error: bool = True, eligible: Column | None = None, lock: Lock | None = None) -> tuple[Result, Moved]:
+        """With ``eligible``, just those rows of DEFAULT move, to new and old partitions; without, all rows that new ones take."""
         if plan.fingerprint != self.table.fingerprint or plan.table != self.table.name:
             raise PlanStale("the plan was made for another configuration")
         began, result, before = time.time(), Result(), self.store.version
         result.findings = [r.asDict() for r in plan.findings.collect()]
         operations = (plan.ordered() if destructive else Plan(plan.without("detach", "drop"), plan.findings, plan.table, plan.fingerprint, plan.now).ordered()).collect()
-        if not operations:
+        if not operations and eligible is None:
             result.seconds = time.time() - began
-            return result
+            return result, Moved()
         entries = {r.name: r.asDict(True) for r in self.store.entries(before).collect()}  # a row a relation
         skipped: set[str] = set()
         garbage: list[str] = []
@@ -208,9 +240,7 @@ class LifecycleService:
                 if op["counts_as"] != "subtree":
                     self.hooks.fire(f"before_{op['kind']}", event)
                 getattr(self, f"_{op['kind']}")(op, entries, plan.now, garbage)
-                if op["kind"] in ("create", "attach"):
-                    made.append(op["target"])
-            except (HookFailed, PlanStale) as e:
+            except Exception as e:  # whatever went wrong concerns this operation and those that depend on it
                 skipped.add(op["target"])
                 if op["counts_as"] == "subtree" and op["parent_name"] in skipped:
                     continue  # reported with the partition that it is a part of
@@ -218,16 +248,25 @@ class LifecycleService:
                 if not continue_on_error:
                     break
                 continue
+            if op["kind"] in ("create", "attach"):
+                made.append(op["target"])
             counter = {"create": op["counts_as"], "attach": "attached", "detach": "detached", "drop": "dropped"}[op["kind"]]
             if counter in ("created", "repaired", "attached", "detached", "dropped"):
                 setattr(result, counter, getattr(result, counter) + 1)
             if op["counts_as"] != "subtree":
-                self.hooks.fire(f"after_{op['kind']}", event)
-        self._filled(entries, made, garbage)
+                try:
+                    self.hooks.fire(f"after_{op['kind']}", event)
+                except HookFailed as e:
+                    result.issues.append({"step": f"after_{op['kind']}", "partition": op["target"], "error": str(e)})
+            if lock and time.time() - began > lock.patience / 4:
+                lock.renew()
+        moved = self._filled(entries, made if eligible is None else None, garbage, eligible)
+        if lock:
+            lock.renew()
         self.store.publish(self._entries(list(entries.values())), before)
         self.store.drop_folders(garbage)
         result.seconds = time.time() - began
-        return result
+        return result, moved
 
     def _create(self, op: dict, entries: dict[str, dict], now: int, garbage: list[str]) -> None:
         if op["target"] in entries:
@@ -261,45 +300,59 @@ class LifecycleService:
             garbage += e["folders"] or []
             del entries[e["name"]]
 
-    def _filled(self, entries: dict[str, dict], made: list[str], garbage: list[str]) -> Moved:
-        """Move rows of DEFAULT into partitions that have just appeared; both sides are in the same version."""
+    def _default_rows(self, folders: list[str]) -> DataFrame:
+        """The rows of DEFAULT with __file and __row, which tell each from all others."""
+        rows = self.spark.read.schema(self.store.schema).parquet(*[self.store.files.path(f) for f in folders])
+        return rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+
+    def _filled(self, entries: dict[str, dict], made: list[str] | None, garbage: list[str], eligible: Column | None = None) -> Moved:
+        """Move rows of DEFAULT into partitions: all that those just ``made`` take, or the ``eligible`` ones into any; both sides are in the same version."""
         moved = Moved()
         default = entries.get(self.default_name)
-        if not made or not default or not default["folders"]:
+        if made == [] or not default or not default["folders"]:
             return moved
-        rows = self.store.spark.read.schema(self.store.schema).parquet(*[self.store.files.path(f) for f in default["folders"]])
-        leaves = [n for n, e in entries.items() if e["state"] == ATTACHED and e["folders"] is not None and any(n == m or n.startswith(m + SEPARATOR) for m in made)]
+        leaves = [n for n, e in entries.items() if e["state"] == ATTACHED and e["folders"] is not None and (made is None or any(n == m or n.startswith(m + SEPARATOR) for m in made))]
         known = self.spark.createDataFrame([(n,) for n in leaves] or [("",)], "partition string")
-        routed = route(rows, self.table.scheme, table=self.table.name, known=known)
         home = f"{self.table.name}{SEPARATOR}{DEFAULT}"
+        routed = route(self._default_rows(default["folders"]), self.table.scheme, table=self.table.name, known=known)
+        if eligible is not None:
+            routed = routed.withColumn("partition", F.when(eligible, F.col("partition")).otherwise(F.lit(home)))
         counts = {r.partition: r["count"] for r in routed.groupBy("partition").count().collect()}  # a row a partition
-        if not set(counts) - {home}:
+        if not set(counts) - {home, self.default_name}:
             return moved
         staged = self.store.stage(routed, "partition")
         garbage += default["folders"]
-        default["folders"] = [staged.pop(home)] if home in staged else []
+        default["folders"] = [staged.pop(n) for n in (home, self.default_name) if n in staged]
         for name, folder in staged.items():
             entries[name]["folders"] = [*entries[name]["folders"], folder]
-            moved.partitions.append(name)
+            top = SEPARATOR.join(name[len(self.table.name) + len(SEPARATOR) :].split(SEPARATOR)[:1])
+            moved.by_window[f"{self.table.name}{SEPARATOR}{top}"] = moved.by_window.get(f"{self.table.name}{SEPARATOR}{top}", 0) + counts[name]
             moved.rows += counts[name]
+        moved.partitions = sorted(moved.by_window)
         return moved
 
     # --- runs ---------------------------------------------------------------------------------------------------------
 
     def maintain(self, now: dt.datetime, **how: bool) -> Result:
         """Plan and apply under the lock.  A half-finished detach is completed first, and the rest planned anew."""
-        with self.store.lock():
+        with self.store.lock() as lock:
             plan = self.plan(now)
             unfinished = plan.operations.where("reason = 'detach_finalize'")
             if not unfinished.isEmpty():
-                self.apply(Plan(unfinished, plan.findings, plan.table, plan.fingerprint, plan.now), **how)
+                self._applied(Plan(unfinished, plan.findings, plan.table, plan.fingerprint, plan.now), lock=lock, **how)
                 plan = self.plan(now)
-            return self.apply(plan, **how)
+            return self._applied(plan, lock=lock, **how)[0]
 
     maintain_lifecycle = maintain
 
+    def _run(self, now: dt.datetime, some: Callable[[Plan], DataFrame] | None = None, mode: str = MAINTAIN, explicit: Mapping[str, Iterable[int]] | None = None) -> Result:
+        """Plan and apply, or apply ``some`` of the operations, under the lock."""
+        with self.store.lock() as lock:
+            plan = self.plan(now, mode, explicit)
+            return self._applied(Plan(some(plan), plan.findings, plan.table, plan.fingerprint, plan.now) if some else plan, lock=lock)[0]
+
     def reconcile(self, now: dt.datetime) -> Result:
-        return self.apply(self.plan(now, RECONCILE))
+        return self._run(now, mode=RECONCILE)
 
     def ensure_partitions(self, now: dt.datetime, positions: Iterable[dt.datetime | int]) -> Result:
         """The partitions of these positions exist afterwards, subtrees included."""
@@ -307,55 +360,58 @@ class LifecycleService:
         if level.progression is None:
             raise ConfigError("the root has no windows")
         ordinals = sorted({level.progression.ordinal_at(micros(p) if isinstance(p, dt.datetime) else p) for p in positions})
-        with self.store.lock():
-            return self.apply(self.plan(now, EXPLICIT, {level.column: ordinals}))
+        return self._run(now, mode=EXPLICIT, explicit={level.column: ordinals})
 
     def ensure_partition(self, now: dt.datetime, position: dt.datetime | int) -> Result:
         return self.ensure_partitions(now, [position])
 
     def create_future_partitions(self, now: dt.datetime) -> Result:
-        plan = self.plan(now)
-        return self.apply(Plan(plan.only("create", "attach"), plan.findings, plan.table, plan.fingerprint, plan.now))
+        return self._run(now, lambda plan: plan.only("create", "attach"))
 
     def detach_old_partitions(self, now: dt.datetime) -> Result:
-        plan = self.plan(now)
-        return self.apply(Plan(plan.only("detach"), plan.findings, plan.table, plan.fingerprint, plan.now))
+        return self._run(now, lambda plan: plan.only("detach"))
 
     def drop_detached_partitions(self, now: dt.datetime) -> Result:
-        plan = self.plan(now)
-        return self.apply(Plan(plan.operations.where("kind = 'drop' and not coalesce(follows_detach, false)"), plan.findings, plan.table, plan.fingerprint, plan.now))
+        return self._run(now, lambda plan: plan.operations.where("kind = 'drop' and not coalesce(follows_detach, false)"))
 
     # --- moving rows --------------------------------------------------------------------------------------------------
 
-    def partition_data(self, now: dt.datetime, *, max_windows: int | None = None, batch: int = 10_000) -> Moved:
+    def partition_data(self, now: dt.datetime, *, max_windows: int | None = None, max_batches: int | None = None, batch: int = 10_000) -> Moved:
         """Drain DEFAULT: create the windows that its rows need and move them, oldest first.
 
-        Without ``max_windows`` all windows are moved by one pass over the rows;
-        with it so many of the oldest, and ``complete`` tells whether any are left.
+        Without a limit all windows are moved by one pass over the rows.  With
+        ``max_windows``, so many of the oldest; with ``max_batches``, so many times
+        ``batch`` rows, of which the last window may get a part.  A later call goes on
+        from there.  ``complete`` tells whether DEFAULT has no row of any window left.
         """
         root = self.table.scheme
         if not isinstance(root, Range):
             raise ConfigError("only a RANGE root is drained by windows")
-        with self.store.lock():
-            rows = self.store.read(self.default_name)
-            at = root.axis.ordinal(root.axis.position(F.col(root.column)))
-            windows = rows.where(mover.whole_key(root)).groupBy(at.alias("o")).agg(F.count("*").alias("n")).orderBy("o").collect()  # a row a window
-            take = windows if max_windows is None else windows[:max_windows]
-            if not take:
+        with self.store.lock() as lock:
+            default = self.store.entries().where(F.col("name") == self.default_name).first()
+            if default is None or not default.folders:
                 return Moved()
-            plan = self.plan(now, EXPLICIT, {root.column: [w.o for w in take]})
-            before = self.store.version
-            self.apply(plan)
-            moved = Moved(sum(w.n for w in take), sum(-(-w.n // batch) for w in take), complete=len(take) == len(windows))
-            if self.store.version == before:  # the windows exist already: only their rows are to be moved
-                entries = {r.name: r.asDict(True) for r in self.store.entries(before).collect()}
-                garbage: list[str] = []
-                self._filled(entries, [n for n, e in entries.items() if e["parent_name"] == self.table.name and e["kind"] == "range"], garbage)
-                self.store.publish(self._entries(list(entries.values())), before)
-                self.store.drop_folders(garbage)
-            left = self.store.read(self.default_name).where(mover.whole_key(root))
-            moved.rows -= left.where(at.isin([w.o for w in take])).count()
-            moved.partitions = [f"{self.table.name}{SEPARATOR}{r[0]}" for r in self.spark.createDataFrame([(w.o,) for w in take], "o long").select(root.axis.label(F.col("o"))).collect()]
+            at, whole = root.axis.ordinal(root.axis.position(F.col(root.column))), mover.whole_key(root)
+            rows = self._default_rows(list(default.folders)).where(whole)
+            windows = rows.groupBy(at.alias("o")).agg(F.count("*").alias("n")).orderBy("o").collect()  # a row a window
+            take, left, part = [], max_batches, 0
+            for w in windows if max_windows is None else windows[:max_windows]:
+                need = -(-w.n // batch)
+                if left is not None and need > left:
+                    part = left * batch  # of this window; the budget is spent
+                    take += [w] * (left > 0)
+                    break
+                take.append(w)
+                left = None if left is None else left - need
+            if not take:
+                return Moved(complete=not windows)
+            eligible = whole & ((at < take[-1].o) if part else (at <= take[-1].o))
+            if part:
+                eligible = eligible | (whole & (at == take[-1].o) & mover.first_rows(rows.where(at == take[-1].o), part))
+            result, moved = self._applied(self.plan(now, EXPLICIT, {root.column: [w.o for w in take]}), eligible=eligible, lock=lock)
+            moved.batches = sum(-(-n // batch) for n in moved.by_window.values())
+            moved.complete = moved.rows == sum(w.n for w in windows)
+            moved.issues = result.issues
             return moved
 
     def unpartition(self, path: str, *, orphans: bool = True) -> int:

@@ -7,11 +7,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrace.errors import ConfigError
+from terrace.sources.shared import shared_folder
+
 NODES = (
     "name string, parent_name string, kind string, from_value string, to_value string, values array<string>, includes_null boolean, modulus int, remainder int, "
     "pos_start bigint, pos_end bigint, relkind string, partition_type string, partition_columns array<string>, has_expression_key boolean, detach_pending boolean"
@@ -19,36 +23,41 @@ NODES = (
 ORPHANS = "name string, parent_name string, relkind string, detached_at bigint"
 UNATTACHED = "name string, relkind string, holds_rows boolean"
 FACTS = "name string, size_bytes bigint, row_estimate bigint, referenced boolean, predicates map<string,boolean>"
-MAX_DEPTH = 5
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def closure(edges: DataFrame, *, name: str = "name", parent: str = "parent_name", depth: int = MAX_DEPTH) -> DataFrame:
-    """(ancestor, name, distance) of every node and each node above it, itself included: one equi-join per level."""
+def _levels(nodes: DataFrame, first: DataFrame, below: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """``first`` and what ``below`` makes of each level, until a level is empty; each is cut, so the plan does not grow."""
+    shared_folder(first.sparkSession, "levels")  # sees that there is a folder for checkpoints
+    found = [first.checkpoint()]
+    while not found[-1].isEmpty():
+        if len(found) > 64 and len(found) > nodes.count():
+            raise ConfigError("the parents form a cycle")
+        found.append(below(found[-1], len(found)).checkpoint())
+    return first_of(found)
+
+
+def closure(edges: DataFrame, *, name: str = "name", parent: str = "parent_name") -> DataFrame:
+    """(ancestor, name, distance) of every node and each node above it, itself included: one equi-join per level, however many there are."""
     own = edges.select(F.col(name).alias("name"), F.col(parent).alias("parent"))
-    level = own.select(F.col("name").alias("ancestor"), "name", F.lit(0).alias("distance"))
-    out = level
     up = own.select(F.col("name").alias("ancestor"), F.col("parent").alias("above")).where("above is not null")
-    for k in range(1, depth + 1):
-        level = level.join(up, "ancestor").select(F.col("above").alias("ancestor"), "name", F.lit(k).alias("distance"))
-        out = out.unionByName(level)
-    return out
+    start = own.select(F.col("name").alias("ancestor"), "name", F.lit(0).alias("distance"))
+    return _levels(own, start, lambda level, k: level.join(up, "ancestor").where("above != name").select(F.col("above").alias("ancestor"), "name", F.lit(k).alias("distance")))
 
 
-def tree(edges: DataFrame, root: str | None = None, *, name: str = "name", parent: str = "parent_name", depth: int = MAX_DEPTH) -> DataFrame:
-    """(name, parent_name, level, path) of what the roots reach; rows whose parent is missing are not in it."""
+def tree(edges: DataFrame, root: str | None = None, *, name: str = "name", parent: str = "parent_name") -> DataFrame:
+    """(name, parent_name, level, path) of what the roots reach, to any depth; rows whose parent is missing are not in it."""
     own = edges.select(F.col(name).alias("name"), F.col(parent).alias("parent_name"))
     top = own.where(F.col("name") == root) if root is not None else own.where("parent_name is null")
-    level = top.select("name", "parent_name", F.lit(0).alias("level"), F.col("name").alias("path"))
-    out = level
-    for k in range(1, depth + 1):
+
+    def below(level: DataFrame, k: int) -> DataFrame:
         above = level.select(F.col("name").alias("parent_name"), F.col("path").alias("above"))
-        level = own.join(above, "parent_name").select("name", "parent_name", F.lit(k).alias("level"), F.concat_ws("/", "above", "name").alias("path"))
-        out = out.unionByName(level)
-    return out
+        return own.join(above, "parent_name").select("name", "parent_name", F.lit(k).alias("level"), F.concat_ws("/", "above", "name").alias("path"))
+
+    return _levels(own, top.select("name", "parent_name", F.lit(0).alias("level"), F.col("name").alias("path")), below)
 
 
 def leaves(edges: DataFrame, *, name: str = "name", parent: str = "parent_name") -> DataFrame:

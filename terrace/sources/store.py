@@ -10,10 +10,13 @@ lie in any store that Spark can write.
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -40,10 +43,36 @@ class Files:
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(self.path(name)))
 
-    def create(self, name: str) -> bool:
-        """False if it exists already; only one of several writers gets True."""
-        self._fs.mkdirs(self._path(self.path(name)).getParent())
-        return self._fs.createNewFile(self._path(self.path(name)))
+    def create(self, name: str, text: str = "") -> bool:
+        """A file with this text; false if it exists already: only one of several writers gets True."""
+        at = self._path(self.path(name))
+        self._fs.mkdirs(at.getParent())
+        try:
+            out = self._fs.create(at, False)
+        except Py4JJavaError:
+            if self.exists(name):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def text(self, name: str) -> str:
+        """Of a small file; empty if there is none."""
+        if not self.exists(name):
+            return ""
+        stream = self._fs.open(self._path(self.path(name)))
+        try:
+            return bytes(stream.readNBytes(1 << 24)).decode()
+        finally:
+            stream.close()
+
+    def age(self, name: str) -> float:
+        """Seconds since the file was last written."""
+        return time.time() - self._fs.getFileStatus(self._path(self.path(name))).getModificationTime() / 1000
+
+    def touch(self, name: str) -> None:
+        self._fs.setTimes(self._path(self.path(name)), int(time.time() * 1000), -1)
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(self.path(name)), True)
@@ -62,6 +91,8 @@ class Store:
     table: str
     schema: StructType
     options: tuple[tuple[str, str], ...] = ()
+    grace: float = 3600.0  # seconds for which readers of an older version keep its files
+    patience: float = 3600.0  # seconds after which a lock that nobody renews counts as left by a dead writer
 
     @property
     def files(self) -> Files:
@@ -79,23 +110,27 @@ class Store:
         at = self.version if version is None else version
         if at == 0:
             return self.spark.createDataFrame([], ENTRY)
-        return self.spark.read.schema(_parse_datatype_string(ENTRY)).parquet(self.files.path(f"_catalog/v={at}"))
+        return self.spark.read.schema(_parse_datatype_string(ENTRY)).parquet(self.files.path(f"_catalog/{self.files.text(f'_catalog/v={at}.done')}"))
 
     def publish(self, entries: DataFrame, expected: int) -> int:
-        """Make ``entries`` the version after ``expected``; PlanStale if another writer was first."""
+        """Make ``entries`` the version after ``expected``; PlanStale if another writer was first.
+
+        Every attempt writes a folder of its own; the marker, which only one writer
+        can create, names the one that counts.
+        """
         if self.version != expected:
             raise PlanStale(f"{self.table} is at version {self.version}, not {expected}")
-        following = expected + 1
-        self.files.delete(f"_catalog/v={following}")
-        entries.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _parse_datatype_string(ENTRY).fields]).coalesce(1).write.parquet(self.files.path(f"_catalog/v={following}"))
-        if not self.files.create(f"_catalog/v={following}.done"):
+        following, folder = expected + 1, f"v={expected + 1}-{uuid.uuid4().hex}"
+        entries.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _parse_datatype_string(ENTRY).fields]).coalesce(1).write.parquet(self.files.path(f"_catalog/{folder}"))
+        if not self.files.create(f"_catalog/v={following}.done", folder):
+            self.files.delete(f"_catalog/{folder}")
             raise PlanStale(f"another writer made version {following} of {self.table}")
         return following
 
     # --- the lock -----------------------------------------------------------------------------------------------------
 
     def lock(self) -> Lock:
-        return Lock(self.files, self.table)
+        return Lock(self.files, self.table, self.patience)
 
     # --- reading ------------------------------------------------------------------------------------------------------
 
@@ -124,27 +159,45 @@ class Store:
         return {n.split("=", 1)[1]: f"{batch}/{n}" for n in self.files.names(batch) if n.startswith("__leaf=")}
 
     def drop_folders(self, folders: list[str]) -> None:
-        for f in folders:
-            self.files.delete(f)
+        """Folders that the current version no longer names: deleted once ``grace`` is over, by whoever comes here then."""
+        if folders:
+            self.files.create(f"_garbage/{uuid.uuid4().hex}", json.dumps(folders))
+        for note in self.files.names("_garbage"):
+            if not note.startswith(".") and self.files.age(f"_garbage/{note}") >= self.grace:
+                for f in json.loads(self.files.text(f"_garbage/{note}") or "[]"):
+                    self.files.delete(f)
+                self.files.delete(f"_garbage/{note}")
 
 
 class Lock:
-    """One writer a table: a file that only one can create."""
+    """One writer a table: a file that only one can create.
+
+    It names its holder.  A lock that has not been renewed for ``patience`` seconds
+    is taken over, so a writer that died holds a table up for so long and no longer.
+    """
 
-    def __init__(self, files: Files, table: str) -> None:
-        self.files, self.table = files, table
+    def __init__(self, files: Files, table: str, patience: float = 3600.0) -> None:
+        self.files, self.table, self.patience, self.holder = files, table, patience, uuid.uuid4().hex
 
     @property
     def held(self) -> bool:
         return self.files.exists("_lock")
 
+    def renew(self) -> None:
+        if self.files.text("_lock") != self.holder:
+            raise LockHeld(f"{self.table} is locked by another writer")
+        self.files.touch("_lock")
+
     def __enter__(self) -> Lock:
-        if not self.files.create("_lock"):
+        if self.held and self.files.age("_lock") >= self.patience:
+            self.files.delete("_lock")
+        if not self.files.create("_lock", self.holder):
             raise LockHeld(f"{self.table} is locked")
         return self
 
     def __exit__(self, *_: object) -> None:
-        self.files.delete("_lock")
+        if self.files.text("_lock") == self.holder:
+            self.files.delete("_lock")
 
 
 def merged(frames: list[DataFrame]) -> DataFrame:
