@@ -57,6 +57,7 @@ class NearDedup:
     side: int = 10
     small: int = 25
     chunk: int = 512
+    slice: int = 1_000_000
     seed: int = 7
 
     @property
@@ -159,12 +160,24 @@ def _mixed(keys: DataFrame, found: DataFrame) -> DataFrame:
     return stored(placed.join(mixed, "key"))
 
 
+def _alone(group: pd.DataFrame) -> pd.DataFrame:
+    """(family, sid, own): how many of a member's shingles in this slice no other member has."""
+    grams = [np.asarray(g) for g in group.grams]
+    owner = np.repeat(np.arange(len(group)), [len(g) for g in grams])
+    _, first, counts = np.unique(np.concatenate(grams), return_index=True, return_counts=True)
+    own = np.bincount(owner[first[counts == 1]], minlength=len(group))
+    return pd.DataFrame({"family": group.family.to_numpy(), "sid": group.sid.to_numpy(), "own": own.astype(np.int64)})[own > 0]
+
+
 def _peeled(members: DataFrame, sets: DataFrame, how: NearDedup) -> DataFrame:
     """``members(family, sid, n, comp)``, with their sets, less those with so many shingles of their own that no link is possible."""
     with_sets = stored(members.join(sets.select("sid", "grams"), "sid"))
-    each = with_sets.select("family", "sid", F.explode("grams").alias("g"))
-    alone = each.groupBy("family", "g").agg(F.count("*").alias("c"), F.min("sid").alias("sid")).where("c = 1")
-    own = alone.groupBy("family", "sid").agg(F.count("*").alias("own"))
+    # Shingles of a family are counted in slices of about ``slice`` of them; one is enough for most families.
+    sizes = members.groupBy("family").agg(F.ceil(F.sum("n") / how.slice).cast("int").alias("slices"))
+    dealt = with_sets.join(sizes, "family").select("family", "sid", "grams", "slices", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    inside = F.filter("grams", lambda g: F.pmod(g, F.col("slices")) == F.col("slice"))
+    dealt = dealt.select("family", "sid", "slice", F.when(F.col("slices") == 1, F.col("grams")).otherwise(inside).alias("grams"))
+    own = dealt.groupBy("family", "slice").applyInPandas(_alone, "family long, sid long, own long").groupBy("family", "sid").agg(F.sum("own").alias("own"))
     left = with_sets.join(own, ["family", "sid"], "left").where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= how.similarity * F.col("n"))
     return stored(left.drop("own"))
 

@@ -67,7 +67,7 @@ def test_large_group_about_the_threshold(spark):
             if r.random() < 0.5:
                 text[5 + 10 * place] = f"v{place}"
         rows.append((number, " ".join(text)))
-    how = NearDedup(small=2, chunk=16)  # nearly all buckets are large ones, with few members that all others meet first
+    how = NearDedup(small=2, chunk=16, slice=5000)  # nearly all buckets are large ones, with few members that all others meet first
     expected = brute(rows, how)
     assert 2 < len({c for _, _, c in expected}) < 190
     assert result(near_duplicates(documents(spark, rows), how)) == expected
