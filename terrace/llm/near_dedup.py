@@ -176,8 +176,9 @@ def _peeled(members: DataFrame, sets: DataFrame, how: NearDedup) -> DataFrame:
     sizes = members.groupBy("family").agg(F.ceil(F.sum("n") / how.slice).cast("int").alias("slices"))
     dealt = with_sets.join(sizes, "family").select("family", "sid", "grams", "slices", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     inside = F.filter("grams", lambda g: F.pmod(g, F.col("slices")) == F.col("slice"))
-    dealt = dealt.select("family", "sid", "slice", F.when(F.col("slices") == 1, F.col("grams")).otherwise(inside).alias("grams"))
-    own = dealt.groupBy("family", "slice").applyInPandas(_alone, "family long, sid long, own long").groupBy("family", "sid").agg(F.sum("own").alias("own"))
+    # One column for both, so that a family's slices are not dealt out by the family alone.
+    dealt = dealt.select("family", "sid", F.xxhash64("family", "slice").alias("cell"), F.when(F.col("slices") == 1, F.col("grams")).otherwise(inside).alias("grams"))
+    own = dealt.groupBy("cell").applyInPandas(_alone, "family long, sid long, own long").groupBy("family", "sid").agg(F.sum("own").alias("own"))
     left = with_sets.join(own, ["family", "sid"], "left").where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= how.similarity * F.col("n"))
     return stored(left.drop("own"))
 
