@@ -70,30 +70,89 @@ def errors_of(value: Any, schema: dict, at: str = "") -> list[str]:
     return out
 
 
-def positions(calls: DataFrame, rounds: int = 200) -> DataFrame:
+def on_cycles(edges: pd.DataFrame) -> pd.DataFrame:
+    """(conv_id, call_id) of one conversation's calls that reach themselves over (call_id waits for other): Tarjan's components of several calls, and loops."""
+    after: dict[str, list[str]] = {}
+    for call, other in zip(edges.call_id, edges.other):
+        after.setdefault(call, []).append(other)
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    stack: list[str] = []
+    open_: set[str] = set()
+    found: list[str] = [c for c, others in after.items() if c in others]
+    for start in after:
+        if start in index:
+            continue
+        work = [(start, iter(after[start]))]
+        index[start] = low[start] = len(index)
+        stack.append(start)
+        open_.add(start)
+        while work:
+            call, others = work[-1]
+            for other in others:
+                if other not in index:
+                    index[other] = low[other] = len(index)
+                    stack.append(other)
+                    open_.add(other)
+                    work.append((other, iter(after.get(other, []))))
+                    break
+                if other in open_:
+                    low[call] = min(low[call], index[other])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[call])
+                if low[call] == index[call]:
+                    group = []
+                    while not group or group[-1] != call:
+                        group.append(stack.pop())
+                        open_.discard(group[-1])
+                    found += group if len(group) > 1 else []
+    return pd.DataFrame({"conv_id": edges.conv_id.iloc[:1].repeat(len(set(found))).to_numpy(), "call_id": sorted(set(found))})
+
+
+def cyclic_calls(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id) of the calls on a cycle of ``edges(conv_id, call_id, other, late)``.
+
+    A cycle needs an edge to a later turn, so only conversations with such edges
+    are looked at.  There, edges from calls that wait for nothing and to calls
+    that nobody waits for are peeled off until none is left to peel; what remains
+    of a conversation, cycles and what lies between two of them, goes to one task.
+    """
+    kinds = edges.select("conv_id", "call_id").schema
+    left = cut(edges.join(edges.where("late").select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "call_id", "other"))
+    before, rows = None, left.count()
+    while rows and rows != before:
+        waiting = left.select("conv_id", F.col("call_id").alias("other")).distinct()
+        named = left.select("conv_id", F.col("other").alias("call_id")).distinct()
+        left = cut(left.join(waiting, ["conv_id", "other"], "left_semi").join(named, ["conv_id", "call_id"], "left_semi"))
+        before, rows = rows, left.count()
+    return left.groupBy("conv_id").applyInPandas(on_cycles, kinds) if rows else edges.sparkSession.createDataFrame([], kinds)
+
+
+def positions(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, position, hops, cyclic) of ``calls(conv_id, call_id, turn, after)``.
 
     Sorting by position, hops, turn and call_id is a topological order of all but
-    the cyclic calls.  Waiting for a call that does not exist is ignored.  The
-    rounds are as many as later turns are named one after another; if some calls
-    still move after ``rounds``, those that moved in the second half of them are
-    reported as cyclic, and so is a call that waits for itself.
+    the cyclic calls, which are exactly those that wait for themselves, directly or
+    through others; they keep their turn.  Waiting for a call that does not exist or
+    is cyclic is ignored.  The rounds are as many as later turns are named one after
+    another, whatever that number is.
     """
     prepare(calls.sparkSession)
     known = cut(calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"), F.flatten(F.collect_list("after")).alias("after")))
     edges = known.select("conv_id", "call_id", F.explode("after").alias("other")).distinct()
     edges = edges.join(known.select("conv_id", F.col("call_id").alias("other"), F.col("turn").alias("other_turn")), ["conv_id", "other"])
-    edges = cut(edges.join(known.select("conv_id", "call_id", "turn"), ["conv_id", "call_id"]))
+    edges = edges.join(known.select("conv_id", "call_id", "turn"), ["conv_id", "call_id"])
+    edges = cut(edges.select("conv_id", "call_id", "other", F.coalesce(F.col("other_turn") >= F.col("turn"), F.lit(True)).alias("late")))
+    cyclic = cut(cyclic_calls(edges).withColumn("cyclic", F.lit(True)))
+    for end in ("call_id", "other"):
+        edges = edges.join(cyclic.select("conv_id", F.col("call_id").alias(end)), ["conv_id", end], "left_anti")
+    edges = cut(edges)
     now = known.select("conv_id", "call_id", "turn", F.col("turn").alias("position"), F.lit(0).alias("hops"))
     # Calls that name only earlier turns need no round at all; the others, and those waiting for them, move.
-    moved = cut(edges.where("other_turn >= turn").select("conv_id", "call_id").distinct())
-    late = moved.limit(0)  # what moved in the second half of the rounds; emptied if all came to rest
-    for k in range(rounds):
-        if moved.isEmpty():
-            late = moved
-            break
-        if 2 * k >= rounds:
-            late = late.unionByName(moved)
+    moved = cut(edges.where("late").select("conv_id", "call_id").distinct())
+    while not moved.isEmpty():
         inputs = edges.join(moved, ["conv_id", "call_id"], "left_semi").join(
             now.select("conv_id", F.col("call_id").alias("other"), F.col("position").alias("p"), F.col("hops").alias("h")), ["conv_id", "other"]
         )
@@ -104,10 +163,7 @@ def positions(calls: DataFrame, rounds: int = 200) -> DataFrame:
         now = merged.drop("changed")
         changed = merged.where("changed").select("conv_id", F.col("call_id").alias("other"))
         moved = cut(edges.join(changed, ["conv_id", "other"], "left_semi").select("conv_id", "call_id").distinct())
-    stuck = late.distinct().withColumn("stuck", F.lit(True))
-    selfish = edges.where("call_id = other").select("conv_id", "call_id").distinct().withColumn("selfish", F.lit(True))
-    out = now.join(stuck, ["conv_id", "call_id"], "left").join(selfish, ["conv_id", "call_id"], "left")
-    return out.select("conv_id", "call_id", "position", "hops", (F.coalesce("stuck", F.lit(False)) | F.coalesce("selfish", F.lit(False))).alias("cyclic"))
+    return now.join(cyclic, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "position", "hops", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

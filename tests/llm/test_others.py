@@ -1,8 +1,10 @@
 import datetime as dt
 import json
+import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +141,27 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert json.loads(found[1, "lost"].line) == {"id": "lost", "result": "late"}
 
 
+def test_cycles_are_told_from_what_waits_for_them():
+    r = random.Random(3)
+    for _ in range(300):
+        n = r.randint(1, 8)
+        edges = sorted({(str(r.randrange(n)), str(r.randrange(n))) for _ in range(r.randint(1, 12))})
+        reach = {a: {b for x, b in edges if x == a} for a in map(str, range(n))}
+        for _ in range(n):
+            reach = {a: bs | {c for b in bs for c in reach[b]} for a, bs in reach.items()}
+        got = tool_calls.on_cycles(pd.DataFrame([(1, a, b) for a, b in edges], columns=["conv_id", "call_id", "other"]))
+        assert set(got.call_id) == {a for a in reach if a in reach[a]} and set(got.conv_id) <= {1}
+
+
+def test_forward_chains_cycles_and_what_follows_them(spark):
+    calls = [(1, f"c{k}", k, "f", "{}", [f"c{k + 1}"] if k < 6 else None) for k in range(7)]  # each waits for the next turn
+    calls += [(2, "p", 0, "f", "{}", ["q"]), (2, "q", 1, "f", "{}", ["p"]), (2, "after", 2, "f", "{}", ["q"]), (2, "before", 9, "f", "{}", None), (2, "self", 4, "f", "{}", ["self", "before"])]
+    found = {(r.conv_id, r.call_id): r for r in tool_calls.positions(spark.createDataFrame(calls, CALLS)).collect()}
+    assert {k for k, r in found.items() if r.cyclic} == {(2, "p"), (2, "q"), (2, "self")}
+    assert sorted(range(7), key=lambda k: (found[1, f"c{k}"].position, found[1, f"c{k}"].hops)) == list(range(6, -1, -1))
+    assert (found[2, "after"].position, found[2, "p"].position) == (2, 0)
+
+
 def test_no_calls(spark):
     none = spark.createDataFrame([], CALLS)
     assert tool_calls.link(none, spark.createDataFrame([], "conv_id long, call_id string, content string"), {}).count() == 0
