@@ -68,6 +68,7 @@ def features(texts: list[bytes], how: Quality) -> tuple[np.ndarray, np.ndarray]:
     shapes = hashing.hashes_of(signs[kept], place[starts] - 1, place[ends - 1])
     again = np.zeros(len(words), bool)
     again[1:] = words[1:] == words[:-1]
+    again[first[first < len(words)]] = False  # the word before a text's first is another text's
     shapes = np.where(again, shapes ^ _SAME_WORD, shapes)
     owner = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(first))
     found = []
