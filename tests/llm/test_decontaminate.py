@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from terrace.llm import queries
+from terrace.llm import decontaminate, queries
 from terrace.llm.decontaminate import contamination
 from tests.llm.helpers import documents
 from tests.oracle import same
@@ -34,8 +34,11 @@ def brute(rows, items):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("few", [True, False], ids=["broadcast", "shuffled"])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_agrees_with_brute_force(spark, seed):
+def test_agrees_with_brute_force(spark, seed, few, monkeypatch):
+    if not few:
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
     r = random.Random(seed)
     pool = ["Alpha", "beta", "gamma", "été", "x1"]  # few words: many chance runs and ties
     line = lambda n: " ".join(r.choice(pool) + r.choice(["", ",", "!"]) for _ in range(n))
@@ -51,7 +54,10 @@ def test_agrees_with_brute_force(spark, seed):
     assert sorted((tuple(x)[:1] + tuple(x)[2:] for x in found.collect()), key=repr) == brute(rows, items)
 
 
-def test_odd_texts_and_empty_tables(spark):
+@pytest.mark.parametrize("few", [True, False], ids=["broadcast", "shuffled"])
+def test_odd_texts_and_empty_tables(spark, few, monkeypatch):
+    if not few:
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
     bench = spark.createDataFrame([(1, "long " * 15)], "item_id long, text string")
     found = contamination(documents(spark), bench).collect()
     assert len(found) == 12 and {r.doc_id for r in found if r.contaminated} == {9}
@@ -66,3 +72,11 @@ def test_query(spark, sf_dir, duck):
     same(df, duck, queries.SQL[name])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_query_by_shuffle(spark, sf_dir, duck, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    name = "op6_winnowing_decontamination"
+    df = queries.QUERIES[name](spark, sf_dir)
+    assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+    same(df, duck, queries.SQL[name])
