@@ -68,23 +68,20 @@ def levels_of(leaves: DataFrame, how: Archive) -> int:
 
 
 def tree(leaves: DataFrame, how: Archive, levels: int) -> list[DataFrame]:
-    """The levels (file_no, part, node, hash) of ``leaves(file_no, part, slot, record_sha256)``, leaves first, roots last."""
+    """The levels (file_no, part, node, hash) of ``leaves(file_no, part, slot, record_sha256)``, leaves first, roots last.
+
+    Each level above the leaves is written once, so comparing two trees reads it and not the leaves.
+    """
     out = [leaves.select("file_no", "part", F.col("slot").alias("node"), F.col("record_sha256").alias("hash"))]
     for _ in range(levels):
         grouped = out[-1].groupBy("file_no", "part", F.floor(F.col("node") / how.fan).cast("long").alias("node"))
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"])  # at most ``fan`` of them
-        out.append(grouped.agg(F.sha2(F.array_join(ordered, ""), 256).alias("hash")))
+        out.append(cut(grouped.agg(F.sha2(F.array_join(ordered, ""), 256).alias("hash"))))
     return out
 
 
-def audit(leaves: DataFrame, replica: DataFrame, how: Archive = Archive()) -> DataFrame:
-    """The slots at which ``replica`` differs from ``leaves``: file_no, part, slot, damage (corrupt, missing or extra).
-
-    Both have file_no, part, slot and record_sha256; a slot is taken once on each
-    side.  Only children of differing nodes are compared.
-    """
-    levels = max(levels_of(leaves, how), levels_of(replica, how))
-    ours, theirs = tree(leaves, how, levels), tree(replica, how, levels)
+def differences(ours: list[DataFrame], theirs: list[DataFrame], how: Archive = Archive()) -> DataFrame:
+    """The slots at which two trees of equally many levels differ: file_no, part, slot, damage (corrupt, missing or extra)."""
     differing: DataFrame | None = None
     for mine, other in zip(reversed(ours), reversed(theirs)):
         keys = ["file_no", "part", "node"]
@@ -93,11 +90,25 @@ def audit(leaves: DataFrame, replica: DataFrame, how: Archive = Archive()) -> Da
             on = lambda df: df.withColumn("above", F.floor(F.col("node") / how.fan).cast("long")).join(above, ["file_no", "part", "above"], "left_semi").drop("above")  # noqa: E731, B023
             mine, other = on(mine), on(other)
         both = mine.join(other.withColumnRenamed("hash", "there"), keys, "full")
-        differing = both.where(~F.col("hash").eqNullSafe(F.col("there")))
+        differing = cut(both.where(~F.col("hash").eqNullSafe(F.col("there"))))
     damage = F.when(F.col("there").isNull(), "missing").when(F.col("hash").isNull(), "extra").otherwise("corrupt")
     return differing.select("file_no", "part", F.col("node").alias("slot"), damage.alias("damage"))
 
 
+def audit(leaves: DataFrame, replica: DataFrame, how: Archive = Archive()) -> DataFrame:
+    """The slots at which ``replica`` differs from ``leaves``, as :func:`differences` gives them.
+
+    Both have file_no, part, slot and record_sha256; a slot is taken once on each
+    side.  Only children of differing nodes are compared.
+    """
+    levels = max(levels_of(leaves, how), levels_of(replica, how))
+    return differences(tree(leaves, how, levels), tree(replica, how, levels), how)
+
+
 def roots(leaves: DataFrame, how: Archive = Archive()) -> DataFrame:
     """(file_no, part, root_sha256)."""
-    return tree(leaves, how, levels_of(leaves, how))[-1].select("file_no", "part", F.col("hash").alias("root_sha256"))
+    return roots_of(tree(leaves, how, levels_of(leaves, how)))
+
+
+def roots_of(levels: list[DataFrame]) -> DataFrame:
+    return levels[-1].select("file_no", "part", F.col("hash").alias("root_sha256"))

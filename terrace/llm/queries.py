@@ -141,16 +141,22 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     the records whose id has a crc32 divisible by 97 those of odd id are lost and
     the others have one character of their body changed.
     """
-    pages = table(spark, sf_dir, "pages")
-    mine = cut(fixity.manifest(pages))
+    how = fixity.Archive()
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    mine = cut(fixity.manifest(pages, how))
     hurt = F.coalesce(F.crc32(F.col("page_id").cast("string").cast("binary")) % 97 == 0, F.lit(False))
-    bent = pages.select("page_id", "url", F.when(hurt, F.overlay("html", F.lit("~"), F.lit(1), F.lit(1))).otherwise(F.col("html")).alias("html"))
-    bent = bent.select("page_id", F.sha2(fixity.record_text(F.col("page_id"), F.col("url"), F.col("html")), 256).alias("bent_sha256")).where(hurt).distinct()
-    kept = mine.where(~(hurt & (F.abs(F.col("page_id")) % 2 == 1))).join(bent, "page_id", "left")
-    replica = kept.select("file_no", "part", "slot", F.coalesce("bent_sha256", "record_sha256").alias("record_sha256")).dropDuplicates(["file_no", "part", "slot"])
-    found = fixity.audit(mine, replica)
-    states = mine.join(found, ["file_no", "part", "slot"], "left").join(fixity.roots(mine), ["file_no", "part"])
-    return states.select("file_no", "slot", "page_id", "offset", "length", "record_sha256", "root_sha256", F.coalesce("damage", F.lit("sound")).alias("state"))
+    record = lambda html: F.sha2(fixity.record_text(F.col("page_id"), F.col("url").cast("string"), html), 256)
+    bent = pages.where(hurt & (F.abs("page_id") % 2 == 0)).select(
+        "page_id", record(F.col("html").cast("string")).alias("record_sha256"), record(F.overlay(F.coalesce(F.col("html").cast("string"), F.lit("")), F.lit("~"), F.lit(1), F.lit(1))).alias("bent_sha256")
+    )
+    # Several pages of one id are told apart by their records.
+    kept = mine.where(~(hurt & (F.abs("page_id") % 2 == 1))).join(bent.distinct(), ["page_id", "record_sha256"], "left")
+    replica = cut(kept.select("file_no", "part", "slot", F.coalesce("bent_sha256", "record_sha256").alias("record_sha256")))
+    levels = max(fixity.levels_of(mine, how), fixity.levels_of(replica, how))
+    ours = fixity.tree(mine, how, levels)
+    found = fixity.differences(ours, fixity.tree(replica, how, levels), how)
+    states = mine.join(found, ["file_no", "part", "slot"], "left").join(fixity.roots_of(ours), ["file_no", "part"])
+    return states.select("file_no", "part", "slot", "page_id", "offset", "length", "copies", "record_sha256", "root_sha256", F.coalesce("damage", F.lit("sound")).alias("state"))
 
 
 SQL["op3_merkle_fixity"] = r"""
@@ -162,13 +168,14 @@ WITH RECURSIVE crc(k, t) AS (
     || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec,
     xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(page_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
       lambda a, c: xor(a >> 8, tab.t[1 + (xor(a, c) & 255)]))) AS crc32
-  FROM pages, tab
+  FROM (SELECT page_id, url, html FROM pages), tab
+), u AS (SELECT page_id, rec, crc32, count(*) AS copies FROM p GROUP BY ALL
 ), m AS (
-  SELECT page_id // 256 AS file_no, row_number() OVER w - 1 AS slot, page_id, CAST(sum(strlen(rec)) OVER w - strlen(rec) AS BIGINT) AS "offset", CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS record_sha256, crc32
-  FROM p WINDOW w AS (PARTITION BY page_id // 256 ORDER BY page_id)
+  SELECT page_id // 256 AS file_no, row_number() OVER w - 1 AS slot, page_id, CAST(sum(strlen(rec)) OVER w - strlen(rec) AS BIGINT) AS "offset", CAST(strlen(rec) AS BIGINT) AS length, copies, sha256(rec) AS record_sha256, crc32
+  FROM u WINDOW w AS (PARTITION BY page_id // 256 ORDER BY page_id, sha256(rec))
 ), one AS (SELECT file_no, slot // 16 AS node, sha256(string_agg(record_sha256, '' ORDER BY slot)) AS h FROM m GROUP BY ALL
 ), root AS (SELECT file_no, sha256(string_agg(h, '' ORDER BY node)) AS root_sha256 FROM one GROUP BY ALL)
-SELECT file_no, slot, page_id, "offset", length, record_sha256, root_sha256, CASE WHEN crc32 % 97 <> 0 THEN 'sound' WHEN page_id % 2 = 1 THEN 'missing' ELSE 'corrupt' END AS state
+SELECT file_no, CAST(0 AS BIGINT) AS part, slot, page_id, "offset", length, copies, record_sha256, root_sha256, CASE WHEN crc32 % 97 <> 0 THEN 'sound' WHEN page_id % 2 = 1 THEN 'missing' ELSE 'corrupt' END AS state
 FROM m JOIN root USING (file_no)
 """
 

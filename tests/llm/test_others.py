@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import random
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -78,6 +79,20 @@ def test_odd_pages(spark):
     assert empty.count() == 0 and fixity.audit(empty, empty).count() == 0
 
 
+def test_audit_query_with_repeated_ids(spark, tmp_path):
+    hurt = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 97 == 0]
+    even, odd = next(k for k in hurt if k % 2 == 0), next(k for k in hurt if k % 2)
+    rows = [(k, "u", str(k)) for k in range(40) if k not in hurt] + [(even, "u", "a"), (even, "u", "a"), (even, "u", "b"), (even, "u", None), (odd, "u", "a"), (odd, "u", "b"), (None, "u", "c"), (None, "u", "c")]
+    rows += [(even + 1, "u", str(k)) for k in range(600)]  # a file of two parts and more
+    pages(spark, rows).write.parquet(str(tmp_path / "pages.parquet"))
+    found = queries.QUERIES["op3_merkle_fixity"](spark, str(tmp_path)).collect()
+    assert sum(r.copies for r in found) == len(rows) and len(found) == len(set(rows))
+    assert len({(r.file_no, r.part, r.slot) for r in found}) == len(found) and max(r.part for r in found) > 0
+    assert len({(r.file_no, r.part) for r in found}) == len({(r.file_no, r.part, r.root_sha256) for r in found})
+    state = lambda k: "sound" if k not in hurt else "missing" if k % 2 else "corrupt"
+    assert all(r.state == state(r.page_id) for r in found)
+
+
 # --- top-k ------------------------------------------------------------------------------------------------------------
 
 
