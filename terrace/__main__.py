@@ -1,6 +1,6 @@
-"""Command line: inspect, plan, validate, apply, backfill.
+"""Command line: inspect, plan, validate, apply, backfill, schema.
 
-Exit codes: 0 done, 1 failed, 2 incomplete, 3 issues, 4 stale plan, 5 locked, 6 bad configuration.
+Exit codes: 0 done, 1 failed, 2 incomplete, 3 issues, 4 stale plan, 5 locked, 6 bad configuration, 64 wrong usage, 130 interrupted, 143 terminated.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 import json
+import signal
 import sys
 from pathlib import Path
 
@@ -19,7 +20,10 @@ from terrace.errors import ConfigError, LockHeld, PlanStale, TerraceError
 from terrace.hooks import Hooks, command
 from terrace.plans.planner import OPERATION, Plan
 from terrace.service import LifecycleService
-from terrace.sources.document import Document, load
+from terrace.sources.document import Document, json_schema, load
+
+
+USAGE, INTERRUPTED, TERMINATED = 64, 130, 143
 
 
 def _service(spark: SparkSession, document: Document, name: str, allow_hooks: bool) -> LifecycleService:
@@ -49,8 +53,8 @@ def saved_plan(service: LifecycleService, data: dict) -> Plan:
 
 def run(argv: list[str], spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="terrace")
-    parser.add_argument("command", choices=["inspect", "plan", "validate", "apply", "backfill"])
-    parser.add_argument("document")
+    parser.add_argument("command", choices=["inspect", "plan", "validate", "apply", "backfill", "schema"])
+    parser.add_argument("document", nargs="?")
     parser.add_argument("--table", action="append")
     parser.add_argument("--now", help="ISO instant; the clock if left out")
     parser.add_argument("--save", help="write the plans to this file")
@@ -59,7 +63,15 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     parser.add_argument("--allow-destructive", action="store_true")
     parser.add_argument("--allow-hooks", action="store_true")
     parser.add_argument("--max-windows", type=int)
-    args = parser.parse_args(argv)
+    try:
+        args = parser.parse_args(argv)
+        if args.command != "schema" and args.document is None:
+            parser.error("a document is needed")
+    except SystemExit as e:
+        return USAGE if e.code else 0
+    if args.command == "schema":
+        print(json.dumps(json_schema(), indent=2))
+        return 0
     try:
         document = load(args.document)
         tables = document.select(args.table)
@@ -105,7 +117,19 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     except TerraceError as e:
         print(e, file=sys.stderr)
         return 1
+    except KeyboardInterrupt:
+        return INTERRUPTED
+
+
+def main() -> int:
+    """Like :func:`run`; a request to terminate ends it as an error does, so locks are given back."""
+
+    def end(*_: object) -> None:
+        raise SystemExit(TERMINATED)
+
+    signal.signal(signal.SIGTERM, end)
+    return run(sys.argv[1:])
 
 
 if __name__ == "__main__":
-    sys.exit(run(sys.argv[1:]))
+    sys.exit(main())

@@ -180,6 +180,56 @@ class TimeAxis:
         return micros(dt.datetime(day.year, day.month, day.day, tzinfo=ZoneInfo(self.tz)))
 
 
+@dataclass(frozen=True)
+class FiscalAxis(TimeAxis):
+    """Months, quarters or years of a year that begins with ``first_month``, named after the calendar year in which it begins.
+
+    A calendar of one's own is a class like this: ordinals, first days and labels
+    as columns, and the same two on the driver.
+    """
+
+    granularity: str = "quarter"
+    first_month: int = 4
+
+    def __post_init__(self) -> None:
+        super().__post_init__()
+        if self.granularity not in ("month", "quarter", "year"):
+            raise ValueError(f"no fiscal {self.granularity}")
+        if not 1 <= self.first_month <= 12:
+            raise ValueError("first_month is 1 to 12")
+
+    @property
+    def per_year(self) -> int:
+        return {"month": 12, "quarter": 4, "year": 1}[self.granularity]
+
+    def ordinal(self, position: Column) -> Column:
+        local = F.from_utc_timestamp(F.timestamp_micros(position), self.tz)
+        return floor_div(F.year(local).cast("long") * 12 + F.month(local) - self.first_month, 12 // self.per_year)
+
+    def first_day(self, ordinal: Column) -> Column:
+        month = ordinal * (12 // self.per_year) + (self.first_month - 1)
+        return F.make_date(floor_div(month, 12).cast("int"), (F.pmod(month, F.lit(12)) + 1).cast("int"), F.lit(1))
+
+    def label(self, ordinal: Column) -> Column:
+        year = F.concat(F.lit("fy"), F.lpad(floor_div(ordinal, self.per_year).cast("string"), 4, "0"))
+        number = (F.pmod(ordinal, F.lit(self.per_year)) + 1).cast("string")
+        return {"month": F.concat(year, F.lit("_p"), F.lpad(number, 2, "0")), "quarter": F.concat(year, F.lit("_q"), number), "year": year}[self.granularity]
+
+    def parse(self, label: Column) -> Column:
+        form = {"month": r"^fy(\d{4})_p(\d{2})$", "quarter": r"^fy(\d{4})_q(\d)$", "year": r"^fy(\d{4})()$"}[self.granularity]
+        year = F.regexp_extract(label, form, 1).try_cast("long")
+        number = F.lit(1).cast("long") if self.per_year == 1 else F.regexp_extract(label, form, 2).try_cast("long")
+        return F.when(label.rlike(form) & (year >= 1) & number.between(1, self.per_year), year * self.per_year + number - 1)
+
+    def ordinal_at(self, position: int) -> int:
+        day = instant_of(position).astimezone(ZoneInfo(self.tz)).date()
+        return (day.year * 12 + day.month - self.first_month) // (12 // self.per_year)
+
+    def start_at(self, ordinal: int) -> int:
+        month = ordinal * (12 // self.per_year) + self.first_month - 1
+        return micros(dt.datetime(month // 12, month % 12 + 1, 1, tzinfo=ZoneInfo(self.tz)))
+
+
 @dataclass(frozen=True)
 class NumericAxis:
     """Windows of ``step`` integers, one of them beginning at ``origin``."""
@@ -232,6 +282,53 @@ class SequenceAxis(NumericAxis):
 Axis = TimeAxis | NumericAxis
 
 
+@dataclass(frozen=True)
+class Window:
+    """One window of an axis, on the driver.  Windows of one axis are ordered; those of different axes are not comparable."""
+
+    axis: Axis
+    ordinal: int
+
+    @classmethod
+    def holding(cls, axis: Axis, position: int) -> Window:
+        return cls(axis, axis.ordinal_at(position))
+
+    @property
+    def start(self) -> int:
+        return self.axis.start_at(self.ordinal)
+
+    @property
+    def end(self) -> int:
+        return self.axis.start_at(self.ordinal + 1)
+
+    def __add__(self, by: int) -> Window:
+        return Window(self.axis, self.ordinal + by)
+
+    def __sub__(self, by: int) -> Window:
+        return self + -by
+
+    def following(self, n: int) -> list[Window]:
+        """The ``n`` windows after this one."""
+        return [self + k for k in range(1, n + 1)]
+
+    def _other(self, other: object) -> int:
+        if not isinstance(other, Window) or type(other.axis) is not type(self.axis) or other.axis != self.axis:
+            raise TypeError(f"{self} cannot be compared with {other}")
+        return other.ordinal
+
+    def __lt__(self, other: object) -> bool:
+        return self.ordinal < self._other(other)
+
+    def __le__(self, other: object) -> bool:
+        return self.ordinal <= self._other(other)
+
+    def __gt__(self, other: object) -> bool:
+        return self.ordinal > self._other(other)
+
+    def __ge__(self, other: object) -> bool:
+        return self.ordinal >= self._other(other)
+
+
 def spelled(value: Column) -> Column:
     """An integer in a name: a minus sign becomes m."""
     return F.regexp_replace(value.cast("string"), "^-", "m")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from terrace import report
 from terrace.catalogue_queries import _MONTHS_SQL, EVENT_GROUPS, NOW, _as_nodes, _candidates, _order_months, query, values
-from terrace.functions.axis import NumericAxis, TimeAxis, instant_of, micros
+from terrace.functions.axis import FiscalAxis, NumericAxis, TimeAxis, Window, instant_of, micros
 from terrace.hooks import Hooks
 from terrace.operators import mover
 from terrace.plans import planner, policy
@@ -375,3 +375,44 @@ def document_tables(spark: SparkSession, t: Callable) -> DataFrame:
         "tables": [{"name": "a", "schema": "ts timestamp, k int", "scheme": scheme}, {"name": "b", "schema": "k int", "scheme": {"method": "hash", "columns": "k", "modulus": 8}, "lifecycle": {}}],
     }
     return values(spark, [(x.name, x.scheme.method, len(list(x.scheme.walk()))) for x in from_data(document).tables], "name string, method string, levels int")
+
+
+@query(
+    "WITH f AS (SELECT o_orderdate - INTERVAL 3 MONTH AS d FROM orders) "
+    "SELECT 'orders__fy' || year(d) || '_q' || quarter(d) AS partition, min(date_trunc('quarter', d)) + INTERVAL 3 MONTH AS starts, min(date_trunc('quarter', d)) + INTERVAL 6 MONTH AS ends, count(*) AS n FROM f GROUP BY 1"
+)
+def route_fiscal(spark: SparkSession, t: Callable) -> DataFrame:
+    """Orders by the quarters of a year that begins in April."""
+    axis = FiscalAxis()
+    found = t("orders").groupBy(axis.ordinal(axis.position(F.col("o_orderdate"))).alias("o")).agg(F.count("*").alias("n"))
+    at = lambda p: F.timestamp_micros(p).cast("timestamp_ntz")
+    return found.select(F.concat(F.lit("orders__"), axis.label(F.col("o"))).alias("partition"), at(axis.start(F.col("o"))).alias("starts"), at(axis.end(F.col("o"))).alias("ends"), "n")
+
+
+@query("SELECT DISTINCT date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS following, date_trunc('month', o_orderdate) < TIMESTAMP '1995-01-01' AS before FROM orders")
+def window_order(spark: SparkSession, t: Callable) -> DataFrame:
+    """The windows after those of the orders' months, and which come before January 1995."""
+    axis = TimeAxis("month")
+    pivot = Window.holding(axis, micros(dt.datetime(1995, 1, 1)))
+    months = t("orders").select(axis.ordinal(axis.position(F.col("o_orderdate"))).alias("o")).distinct().collect()  # a row a window
+    found = [Window(axis, r.o) for r in months]
+    return values(spark, [((w + 1).start, w < pivot) for w in found], "p long, before boolean").select(F.timestamp_micros("p").cast("timestamp_ntz").alias("following"), "before")
+
+
+@query(
+    f"WITH d AS (SELECT DISTINCT date_trunc('day', ts) AS ts FROM events), w AS (SELECT {DAY_SQL} AS name, ts FROM d UNION ALL SELECT 'events__none', NULL UNION ALL SELECT 'events__default', NULL) "
+    "SELECT name, CASE WHEN name = 'events__default' THEN 'attached' WHEN ts IS NULL THEN NULL WHEN day(ts) % 3 = 0 THEN 'attached' WHEN day(ts) % 3 = 1 THEN 'detached' ELSE 'unattached' END AS found, "
+    "CASE WHEN name = 'events__default' OR day(ts) % 3 < 2 THEN 'events' END AS parent_name, "
+    "CASE WHEN name = 'events__default' THEN 'DEFAULT' WHEN day(ts) % 3 = 0 THEN 'FOR VALUES FROM (' || chr(39) || strftime(ts, '%Y-%m-%d') || chr(39) || ') TO (' || chr(39) || strftime(ts + INTERVAL 1 DAY, '%Y-%m-%d') || chr(39) || ')' END AS bounds FROM w"
+)
+def partition_lookup(spark: SparkSession, t: Callable) -> DataFrame:
+    """Whether names are attached, detached or stray tables, and the boundaries of those attached."""
+    axis = TimeAxis("day")
+    days = t("events").select(axis.ordinal(axis.position(F.col("ts"))).alias("o")).where("o is not null").distinct()
+    third = F.pmod(F.day(axis.first_day(F.col("o"))), F.lit(3))
+    days = days.select(F.concat(F.lit("events__"), axis.label(F.col("o"))).alias("name"), F.lit("events").alias("parent_name"), F.lit("table").alias("relkind"), third.alias("third"), *(axis.key_literal(f(F.col("o"))).alias(c) for f, c in ((axis.start, "from_value"), (axis.end, "to_value"))))
+    nodes = days.where("third = 0").withColumn("kind", F.lit("range"))
+    default = values(spark, [("events__default", "events", "default")], "name string, parent_name string, kind string")
+    names = days.select("name").unionByName(values(spark, [("events__none",), ("events__default",)], "name string"))
+    found = C.lookup(names, _as_nodes(nodes).unionByName(_as_nodes(default)), days.where("third = 1"), days.where("third = 2"))
+    return found.select("name", "found", "parent_name", "bounds")

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from terrace.errors import ConfigError
-from terrace.functions.axis import Axis, NumericAxis, SequenceAxis, TimeAxis
+from terrace.functions.axis import Axis, FiscalAxis, NumericAxis, SequenceAxis, TimeAxis
 from terrace.functions.names import identifier
 
 MAX_DEPTH = 5
@@ -145,7 +145,18 @@ def described(value: Any) -> Any:
     return value
 
 
-_AXES = {"time": TimeAxis, "numeric": NumericAxis, "sequence": SequenceAxis}
+_AXES: dict[str, type] = {"time": TimeAxis, "fiscal": FiscalAxis, "numeric": NumericAxis, "sequence": SequenceAxis}
+
+
+def register_axis(kind: str, axis: type) -> None:
+    """Let documents name an axis of one's own, its settings being the arguments of ``axis``."""
+    if _AXES.get(kind, axis) is not axis:
+        raise ConfigError(f"an axis {kind!r} is there already")
+    _AXES[kind] = axis
+
+
+def axis_kinds() -> list[str]:
+    return sorted(_AXES)
 
 
 def level_from(data: dict) -> Level:
@@ -156,7 +167,10 @@ def level_from(data: dict) -> Level:
     base = {"columns": (columns,) if isinstance(columns, str) else tuple(columns), "child": child}
     if method == "range":
         axis = dict(data.pop("axis", {"kind": "time", "granularity": "month"}))
-        base["axis"] = _AXES[axis.pop("kind", "time")](**axis)
+        kind = axis.pop("kind", "time")
+        if kind not in _AXES:
+            raise ConfigError(f"unknown axis {kind!r}")
+        base["axis"] = _AXES[kind](**axis)
         made: type[Level] = Range
     elif method == "list" and "first" in data:
         base["first"], made = data.pop("first"), SlidingList

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.errors import ConfigError
+from terrace.functions import bounds as B
 from terrace.sources.shared import shared_folder
 
 NODES = (
@@ -96,6 +97,22 @@ def listing(nodes: DataFrame, detached: DataFrame, root: str) -> DataFrame:
     return mine.unionByName(gone)
 
 
+def lookup(names: DataFrame, nodes: DataFrame, detached: DataFrame, strays: DataFrame) -> DataFrame:
+    """What each of ``names(name)`` is: name, found (attached, detached, unattached or null), parent_name, relkind, kind and bounds.
+
+    A name that is in several of the catalogue's tables is what the first of them
+    says.  ``bounds`` is the boundary clause of an attached partition.
+    """
+    clause = B.render(F.struct("kind", "from_value", "to_value", "values", "includes_null", "modulus", "remainder"))
+    none = F.lit(None).cast("string")
+    attached = nodes.select("name", F.lit("attached").alias("found"), F.lit(1).alias("order"), "parent_name", "relkind", "kind", clause.alias("bounds"))
+    gone = detached.select("name", F.lit("detached").alias("found"), F.lit(2).alias("order"), "parent_name", "relkind", none.alias("kind"), none.alias("bounds"))
+    stray = strays.select("name", F.lit("unattached").alias("found"), F.lit(3).alias("order"), none.alias("parent_name"), "relkind", none.alias("kind"), none.alias("bounds"))
+    told = ["found", "parent_name", "relkind", "kind", "bounds"]
+    known = attached.unionByName(gone).unionByName(stray).groupBy("name").agg(F.min_by(F.struct(*told), "order").alias("is"))
+    return names.select("name").distinct().join(known, "name", "left").select("name", *(F.col("is")[c].alias(c) for c in told))
+
+
 # --- coverage ---------------------------------------------------------------------------------------------------------
 
 

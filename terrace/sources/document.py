@@ -13,7 +13,7 @@ from typing import Any
 from terrace.errors import ConfigError
 from terrace.functions.axis import micros
 from terrace.plans import policy as P
-from terrace.plans.scheme import Table, level_from
+from terrace.plans.scheme import Table, axis_kinds, level_from
 
 VERSION = 1
 _TOP = {"version", "defaults", "tables", "root", "hooks"}
@@ -104,6 +104,38 @@ def from_data(data: dict) -> Document:
     return Document(tuple(tables), schemas, os.environ.get(PREFIX + "ROOT", data.get("root")), data.get("hooks"))
 
 
+def json_schema() -> dict:
+    """The form of a document as a JSON Schema; what levels and rules mean together is checked on reading."""
+    text, names = {"type": "string"}, {"type": "array", "items": {"type": "string"}}
+    period = {"type": "string", "pattern": _DURATION.pattern}
+    rule = {"$ref": "#/$defs/rule"}
+    settings = {
+        "size_above": {"type": "integer"}, "rows_above": {"type": "integer"}, "keep_newest": {"type": "integer", "minimum": 0}, "keep_behind": {"type": "integer"}, "sql": text,
+        "window_age_above": period, "keep_for": period, "unreferenced": {"type": "boolean"}, "all_of": {"type": "array", "items": rule}, "any_of": {"type": "array", "items": rule}, "not": rule, "expire_if": rule,
+    }
+    closed = lambda properties, **more: {"type": "object", "additionalProperties": False, "properties": properties, **more}
+    one = {"minProperties": 1, "maxProperties": 1}
+    level = closed(
+        {
+            "method": {"enum": ["range", "list", "hash"]}, "columns": {"anyOf": [text, names]}, "child": {"anyOf": [{"$ref": "#/$defs/level"}, {"type": "null"}]},
+            "axis": {"type": "object", "properties": {"kind": {"enum": axis_kinds()}}}, "first": {"type": "integer"}, "include_default": {"type": "boolean"}, "default_name": text,
+            "groups": {"type": "array", "items": {"type": "object", "required": ["name"]}}, "modulus": {"type": "integer", "minimum": 1},
+        },
+        required=["method", "columns"],
+    )
+    lifecycle = closed(
+        {
+            "create": closed({"ahead": {"type": "integer", "minimum": 0}, "until": {"type": ["integer", "string"]}, "next_if": rule}, **one), "retain": rule,
+            "drop": {"anyOf": [{"const": "never"}, closed({"after": period, "when": rule})]}, "detach": text,
+        }
+    )
+    table = {"name": text, "scheme": {"$ref": "#/$defs/level"}, "lifecycle": lifecycle, "unique": {"type": "array", "items": names}, "foreign_leaves": {"type": "boolean"}, "schema": text, "hooks": {"type": "object"}}
+    assert set(table) == _TABLE
+    defaults = {k: v for k, v in table.items() if k != "name"}
+    top = {"version": {"const": VERSION}, "root": text, "hooks": {"type": "object"}, "defaults": closed(defaults), "tables": {"type": "array", "items": closed(table, required=["name"])}}
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema", **closed(top, required=["version"]), "$defs": {"rule": closed(settings, **one), "level": level}}
+
+
 def load(path: str) -> Document:
     text = Path(path).read_text(encoding="utf-8")
     if path.endswith((".yaml", ".yml")):

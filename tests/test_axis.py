@@ -6,10 +6,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from terrace.functions import codecs
-from terrace.functions.axis import GRANULARITIES, NumericAxis, TimeAxis, instant_of, micros, spelled, unspelled
+from terrace.functions.axis import GRANULARITIES, FiscalAxis, NumericAxis, TimeAxis, Window, instant_of, micros, spelled, unspelled
 
 ZONES = ["UTC", "Europe/Berlin", "America/New_York", "Asia/Kolkata"]
 AXES = [TimeAxis(g) for g in GRANULARITIES] + [TimeAxis(g, z) for g in GRANULARITIES if g != "hour" for z in ZONES[1:]]
+AXES += [FiscalAxis(g, first_month=m) for g, m in (("month", 10), ("quarter", 4), ("quarter", 1), ("year", 7))] + [FiscalAxis("quarter", "Europe/Berlin", first_month=2)]
 
 
 @given(st.datetimes(dt.datetime(1901, 1, 1), dt.datetime(2199, 1, 1)), st.sampled_from(AXES))
@@ -79,3 +80,23 @@ def test_own_codec(spark):
     p = micros(dt.datetime(2024, 5, 6, 7))
     r = spark.range(1).select(axis.ordinal(axis.position(codecs.CODECS[name].encode(F.lit(p)).cast("long"))).alias("o"), axis.key_literal(F.lit(p)).alias("k")).first()
     assert r.o == axis.ordinal_at(p) and r.k == str(((p // 1000) - 1_288_834_974_657) << 22)
+
+
+def test_windows_of_one_axis_are_ordered():
+    w = Window.holding(TimeAxis("month"), micros(dt.datetime(2024, 2, 29)))
+    assert w.end == (w + 1).start == micros(dt.datetime(2024, 3, 1)) and (w - 2).start == micros(dt.datetime(2023, 12, 1))
+    assert w < w + 1 <= w + 1 and w > w - 1 and w >= w and w.following(2) == [w + 1, w + 2]
+    assert sorted([w + 1, w - 3, w]) == [w - 3, w, w + 1]
+    for other in (Window(TimeAxis("day"), w.ordinal), Window(TimeAxis("month", "Asia/Kolkata"), w.ordinal), Window(NumericAxis(5), w.ordinal), w.ordinal):
+        with pytest.raises(TypeError):
+            w < other  # noqa: B015
+    assert w != Window(TimeAxis("day"), w.ordinal)
+
+
+def test_fiscal_labels(spark):
+    labels = [("fy2024_q1", 2024 * 4), ("fy2024_q0", None), ("fy2024_q5", None), ("2024_q1", None), ("fy0000_q1", None), (None, None)]
+    df = spark.createDataFrame(labels, "l string, o long")
+    assert [r[0] for r in df.select(FiscalAxis().parse(F.col("l"))).collect()] == [o for _, o in labels]
+    for bad in ({"granularity": "week"}, {"first_month": 0}):
+        with pytest.raises(ValueError):
+            FiscalAxis(**bad)

@@ -148,6 +148,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert run(["plan", str(path), "--table", "none"], spark) == 6
     with s.store.lock():
         assert run(["apply", str(path), *now], spark) == 5
+    assert run(["nothing", str(path)]) == 64 and run(["plan"]) == 64
+    capsys.readouterr()
+    assert run(["schema"]) == 0
+    schema = json.loads(capsys.readouterr().out)
+    assert set(document) <= set(schema["properties"]) and "fiscal" in schema["$defs"]["level"]["properties"]["axis"]["properties"]["kind"]["enum"]
     for bad in ({"version": 2}, {"version": 1, "odd": 1}, {"version": 1, "defaults": {"name": "x"}}, {**document, "tables": document["tables"] * 2}):
         with pytest.raises(ConfigError):
             from_data(bad)
