@@ -15,7 +15,6 @@ import json
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -42,7 +41,6 @@ class Packing:
     length: int = 1024
     end_id: int = 2
     group: int = 8192
-    donors: int = 16
 
 
 def encoder(path: str) -> Callable[[str], list[int]]:
@@ -121,46 +119,65 @@ def best_fit(sizes: np.ndarray, length: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: np.ndarray, length: int, donors: int) -> list[list[int]]:
-    """Local search between underfull bins; returns the bins that are left."""
-    fill = [int(sizes[b].sum()) for b in bins]
-    under = sorted((i for i in range(len(bins)) if fill[i] < length), key=lambda i: (-fill[i], i))
-    changed = True
-    while changed and len(under) > 1:
-        changed = False
-        for low in under[:-donors - 1 : -1]:
-            for high in under:
-                while bins[low] and high != low and fill[high] < length and fill[high] >= fill[low]:
-                    if not (step := _best_step(bins[low], bins[high], sizes, length - fill[high])):
-                        break
-                    gain, give, take = step
-                    bins[low] = [x for x in bins[low] if x not in give] + take
-                    bins[high] = [x for x in bins[high] if x not in take] + give
-                    fill[low], fill[high] = fill[low] - gain, fill[high] + gain
-                    changed = True
-        under = sorted((i for i in under if 0 < fill[i] < length), key=lambda i: (-fill[i], i))
-    return [b for b in bins if b]
-
-
-def _best_step(low: list[int], high: list[int], sizes: np.ndarray, room: int) -> tuple[int, list[int], list[int]] | None:
-    """The exchange that adds most to the fuller bin: (tokens gained, given by low, taken from high)."""
-    gives = [[a] for a in low] + [list(p) for p in combinations(low, 2)]
-    best: tuple[int, list[int], list[int]] | None = None
-    for give in gives:
-        given = int(sizes[give].sum()) if len(give) > 1 else int(sizes[give[0]])
-        if len(give) == 1 and 0 < given <= room and (best is None or given > best[0]):
-            best = given, give, []
-        for b in high:
-            gain = given - int(sizes[b])
-            if 0 < gain <= room and (best is None or gain > best[0]):
-                best = gain, give, [b]
-        if best and best[0] == room:
-            break
+def improve(bins: list[list[int]], sizes: np.ndarray, length: int) -> list[list[int]]:
+    """Local search between underfull bins until no bin has an improving step; returns the bins that are left.
+
+    Bins give from the emptiest on, each as long as it can.  A step adds to a bin
+    at least as full, so the sum of squared fills grows with every step and the
+    search ends.
+    """
+    fill = np.array([sizes[b].sum() for b in bins], np.int64)
+    under = sorted(np.flatnonzero(fill < length).tolist(), key=lambda i: (-fill[i], i))
+    # What can be taken: every document of an underfull bin, or nothing (a document -1 of no size for each bin).
+    item = np.array([x for b in under for x in (-1, *bins[b])], np.int64)
+    at = np.array([b for b in under for _ in range(len(bins[b]) + 1)], np.int64)
+    size = np.where(item < 0, 0, sizes[item])
+    moved = True
+    while moved:
+        moved = False
+        for low in sorted(under, key=lambda i: (fill[i], -i)):
+            while 0 < fill[low] < length and (step := _best_step(low, item, at, size, fill, length)):
+                gain, high, give, take = step
+                at[give], at[take] = high, low
+                fill[low], fill[high] = fill[low] - gain, fill[high] + gain
+                moved = True
+        under = [b for b in under if 0 < fill[b] < length]
+    left: dict[int, list[int]] = {b: [] for b in at.tolist()}
+    for x, b in zip(item.tolist(), at.tolist()):
+        left[b] += [x] if x >= 0 else []
+    return [b for b in (left.get(i, own) for i, own in enumerate(bins)) if b]
+
+
+def _best_step(low: int, item: np.ndarray, at: np.ndarray, size: np.ndarray, fill: np.ndarray, length: int) -> tuple[int, int, list[int], list[int]] | None:
+    """The step that adds most to some fuller bin: (tokens gained, that bin, places given by low, places taken from it).
+
+    A document is moved, or exchanged for a smaller one, or two are exchanged for
+    one that is smaller than both together.
+    """
+    own = np.flatnonzero((at == low) & (item >= 0))
+    others = np.flatnonzero((at != low) & (fill[at] >= fill[low]) & (fill[at] < length))
+    if not len(others):
+        return None
+    room = length - fill[at[others]]
+    one, two = np.triu_indices(len(own), 1)
+    best: tuple[int, int, list[int], list[int]] | None = None
+    for pairs, offered in ((False, size[own]), (True, size[own[one]] + size[own[two]])):
+        given, first = np.unique(offered, return_index=True)
+        takes = others[item[others] >= 0] if pairs else others
+        rooms = room[item[others] >= 0] if pairs else room
+        for k in range(0, len(given) if len(takes) else 0, 64):
+            gain = given[k : k + 64, None] - size[takes][None, :]
+            gain = np.where((gain > 0) & (gain <= rooms[None, :]), gain, 0)
+            g, t = np.unravel_index(int(gain.argmax()), gain.shape)
+            if gain[g, t] > (best[0] if best else 0):
+                n = first[k + g]
+                give = [int(own[one[n]]), int(own[two[n]])] if pairs else [int(own[n])]
+                best = int(gain[g, t]), int(at[takes[t]]), give, [int(takes[t])] if item[takes[t]] >= 0 else []
     return best
 
 
 def packed(sizes: np.ndarray, how: Packing) -> list[list[int]]:
-    return improve(best_fit(sizes, how.length), sizes, how.length, how.donors)
+    return improve(best_fit(sizes, how.length), sizes, how.length)
 
 
 def tokenised(docs: DataFrame, how: Packing, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

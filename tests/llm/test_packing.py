@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import numpy as np
@@ -43,18 +44,38 @@ def test_packing_keeps_everything_and_is_tight(low):
 def test_local_search_grows_squared_fill_and_empties_bins():
     sizes = np.array([600, 500, 300, 300, 124, 224])
     start = [[0], [1, 2], [3, 4, 5]]  # fills 600, 800, 648: two bins hold all
-    end = packing.improve([list(b) for b in start], sizes, 1024, 16)
+    end = packing.improve([list(b) for b in start], sizes, 1024)
     square = lambda bins: sum(int(sizes[b].sum()) ** 2 for b in bins)
     assert square(end) > square(start) and len(end) == 2
     rng = np.random.default_rng(5)
     for _ in range(50):
         sizes = rng.integers(1, 700, 40)
         loose = [[i] for i in range(40)]
-        end = packing.improve([list(b) for b in loose], sizes, 1024, 16)
+        end = packing.improve([list(b) for b in loose], sizes, 1024)
         assert square(end) >= square(loose) and sorted(i for b in end for i in b) == list(range(40))
         assert all(sizes[b].sum() <= 1024 for b in end)
 
 
+def improving(bins, sizes):
+    """Whether any move, one-for-one or two-for-one exchange still adds to a bin at least as full: by trying all."""
+    fill = [int(sizes[b].sum()) for b in bins]
+    for low in range(len(bins)):
+        for high in range(len(bins)):
+            if high != low and 1024 > fill[high] >= fill[low]:
+                for give in [*itertools.combinations(bins[low], 1), *itertools.combinations(bins[low], 2)]:
+                    for take in [0, *sizes[bins[high]].tolist()] if len(give) == 1 else sizes[bins[high]].tolist():
+                        if 0 < int(sizes[list(give)].sum()) - take <= 1024 - fill[high]:
+                            return True
+    return False
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_bin_is_left_with_an_improving_step(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, [700, 500, 120, 1023, 340, 60][seed], 70)
+    assert not improving(packing.packed(sizes, packing.Packing("")), sizes)
+
+
 def test_against_a_plain_reading(spark):
     how = packing.Packing(tokenizer_path(), group=32)
     rows = ODD + [(20 + k, f"document number {k} " * (k * 7 % 60)) for k in range(30)]
