@@ -103,7 +103,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_nra_top_k")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_topk.top_k(table(spark, sf_dir, "embeddings"))
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings")).drop("depth")
 
 
 SQL["op9_nra_top_k"] = """

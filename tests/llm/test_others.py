@@ -134,6 +134,27 @@ def test_reading_stops_early_where_it_can():
     assert list(found[1]) == [17, 99] and found[3] < 4000
 
 
+@pytest.mark.parametrize("size", [24, 4000, 1 << 31])
+@pytest.mark.parametrize("slice_", [1, 7, 64])
+def test_lists_agree_with_all_products(size, slice_):
+    rng = np.random.default_rng(size % 97 + slice_)
+    vectors, queries = rng.integers(-size, size, (50, 6)) // 8, rng.integers(-size, size, (9, 6)) // 8
+    own = np.arange(0, 90, 10)  # the later ones are no vector's
+    found = {i: (x.tolist(), s.tolist()) for i, x, s, _ in exact_topk.Lists(np.arange(50), vectors).top(queries, own, exact_topk.TopK(slice=slice_))}
+    for i, q in enumerate(queries.tolist()):
+        best = sorted((-sum(a * b for a, b in zip(q, v)), k) for k, v in enumerate(vectors.tolist()) if k != own[i])[:5]
+        assert found[i] == ([k for _, k in best], [-s for s, _ in best])
+
+
+def test_scores_beyond_doubles_are_exact():
+    big = 1 << 28
+    vectors = np.array([[big, 1], [big, 2], [big, 0], [-big, 5]])
+    ((_, ids, scores, _),) = exact_topk.Lists(np.arange(4), vectors).top(np.array([[big, 1]]), np.array([-1]), exact_topk.TopK(k=3))
+    assert ids.tolist() == [1, 0, 2] and scores.tolist() == [(big << 28) + x for x in (2, 1, 0)]
+    with pytest.raises(OverflowError):
+        list(exact_topk.Lists(np.arange(1), vectors[:1] << 30).top(vectors[:1] << 30, np.array([-1]), exact_topk.TopK()))
+
+
 # --- tool calls -------------------------------------------------------------------------------------------------------
 
 CALLS = "conv_id long, call_id string, turn long, name string, arguments string, after array<string>"
