@@ -15,6 +15,8 @@ with the corpus and is never collected.  Contexts deeper than two bytes are
 worked out in groups of whole subtrees (by their last three bytes); the tree
 above, which the alphabet bounds (65,536 contexts), is joined on the driver.
 Each block gets back the values of just the grams and words it asked for.
+A block's rows pass through a worker batch by batch, so that it holds the block's
+distinct keys and a piece of its texts, however many texts that block has.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,21 +77,36 @@ def grams_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[inside], begins
 
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+class Tally:
+    """Distinct keys, ascending, and their counts.  Takes one piece after another and grows only by the keys that are new."""
+
+    def __init__(self) -> None:
+        self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        """``keys`` ascending and distinct."""
+        at = np.searchsorted(self.keys, keys)
+        hit = at < len(self.keys)
+        hit[hit] = self.keys[at[hit]] == keys[hit]
+        self.n[at[hit]] += n[hit]
+        if not hit.all():
+            self.keys, self.n = np.insert(self.keys, at[~hit], keys[~hit]), np.insert(self.n, at[~hit], n[~hit])
+
+    def read(self, texts: list[bytes], trained: np.ndarray, depth: int) -> None:
+        """Adds the grams and words of ``texts``, those of texts that are not ``trained`` with counts of 0."""
+        for learn in (True, False):
+            own = [t for t, x in zip(texts, trained) if bool(x) == learn]
+            for a, b in _pieces(own):
+                for found in (grams_of(own[a:b], depth)[0], hashing.words_of(own[a:b])[0] | _WORD):
+                    keys, n = np.unique(found, return_counts=True)
+                    self.add(keys, n if learn else np.zeros(len(n), np.int64))
 
 
 def block_keys(texts: list[bytes], trained: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """All distinct keys of the block's grams and words, and how often each is in training texts."""
-    parts = []
-    for learn in (True, False):
-        own = [t for t, x in zip(texts, trained) if bool(x) == learn]
-        for a, b in _pieces(own):
-            for found in (grams_of(own[a:b], depth)[0], hashing.words_of(own[a:b])[0] | _WORD):
-                keys, n = np.unique(found, return_counts=True)
-                parts.append((keys, n if learn else np.zeros(len(n), np.int64)))
-    return _added(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    tally = Tally()
+    tally.read(texts, trained, depth)
+    return tally.keys, tally.n
 
 
 def block_scores(texts: list[bytes], keys: np.ndarray, values: np.ndarray, depth: int, tokens: int, kinds: int, ends: int) -> dict[str, np.ndarray]:
@@ -225,6 +243,52 @@ def gram_logs(grams: np.ndarray, levels: list[Level]) -> np.ndarray:
     return total
 
 
+# --- a block, batch by batch -----------------------------------------------------------------------------------------
+
+_SENT = 100_000  # rows of a batch that a worker sends back
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [_encoded(t) for t in batch.column("text").to_pylist()]
+
+
+def asked_in(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """Of a block's rows (block, text, held_out): its distinct keys (block, key, n), as :func:`block_keys` has them."""
+    tally = Tally()
+    for batch in batches:
+        tally.read(_texts(batch), ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool), depth)
+        block = batch.column("block")[0].as_py()
+    for a in range(0, len(tally.keys), _SENT):
+        keys = tally.keys[a : a + _SENT].view(np.int64)
+        yield pa.record_batch({"block": pa.array(np.full(len(keys), block, np.int32)), "key": pa.array(keys), "n": pa.array(tally.n[a : a + _SENT])})
+
+
+_VALUE, _TRAINED, _HELD = 0, 1, 2  # kinds of rows that come back to a block, in this order
+
+
+def scored_in(batches: Iterator[pa.RecordBatch], depth: int, tokens: int, kinds: int, ends: int) -> Iterator[pa.RecordBatch]:
+    """Of a block's rows (kind, id, value, text), values of keys first: the scores of its texts, a batch for each with texts."""
+    parts, keys, values = [], None, None
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        first = int(np.searchsorted(kind, _TRAINED))
+        if first:
+            if keys is not None or (kind[first:] == _VALUE).any():
+                raise RuntimeError("values of a block's keys must come before its texts")
+            parts.append((batch.column("id")[:first].to_numpy().view(np.uint64).copy(), batch.column("value")[:first].to_numpy().copy()))
+        if first == len(kind):
+            continue
+        if keys is None:
+            keys, values = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(keys)
+            keys, values, parts = keys[order], values[order], []
+        batch = batch.slice(first)
+        found = block_scores(_texts(batch), keys, values, depth, tokens, kinds, ends)
+        held = pa.array(kind[first:] == _HELD)
+        whole = pa.array(np.full(len(batch), tokens, np.int64))
+        yield pa.record_batch({"doc_id": batch.column("id"), "held_out": held, "n_tokens": pa.array(found["n_tokens"]), "n_known": pa.array(found["n_known"]), "train_tokens": whole, "base_score": pa.array(found["base_score"]), "score": pa.array(found["score"])})
+
+
 # --- the jobs --------------------------------------------------------------------------------------------------------
 
 
@@ -247,11 +311,10 @@ def lm_scores(docs: DataFrame, how: Ctw = Ctw(), *, doc_id: str = "doc_id", text
     blocks = max(1, -(-(size or 0) // how.block_bytes))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
-    def ask(frame: pd.DataFrame) -> pd.DataFrame:
-        keys, n = block_keys([_encoded(t) for t in frame.text], ~frame.held_out.to_numpy(bool), depth)
-        return pd.DataFrame({"block": np.full(len(keys), frame.block.iloc[0], np.int32), "key": keys.view(np.int64), "n": n})
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from asked_in(batches, depth)
 
-    asked = stored(rows.groupBy("block").applyInPandas(ask, "block int, key long, n long"))
+    asked = stored(rows.select("block", "text", "held_out").repartitionById(blocks, F.col("block")).groupBy("block").applyInArrow(ask, "block int, key long, n long"))
     table = cut(asked.groupBy("key").agg(F.sum("n").alias("n")))
     words = table.where("key < 0")
     tokens, kinds = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -285,12 +348,11 @@ def lm_scores(docs: DataFrame, how: Ctw = Ctw(), *, doc_id: str = "doc_id", text
         return pd.DataFrame({"key": frame.key, "value": gram_logs(keys, [*levels, *shared.value])})
 
     known = grams.groupBy("group").applyInPandas(down, "key long, value double").unionByName(words.select("key", F.col("n").cast("double").alias("value")))
-    answers = asked.select("block", "key").join(known, "key").select("block", "key", "value")
+    answers = asked.select("block", "key").join(known, "key").select("block", F.lit(_VALUE).alias("kind"), F.col("key").alias("id"), "value", F.lit(None).cast("string").alias("text"))
+    texts = rows.select("block", F.when(F.col("held_out"), _HELD).otherwise(_TRAINED).alias("kind"), F.col("doc_id").alias("id"), F.lit(None).cast("double").alias("value"), "text")
 
-    def score(texts: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        keys = values.key.to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        found = block_scores([_encoded(t) for t in texts.text], keys[order], values.value.to_numpy()[order], depth, tokens, kinds, ends)
-        return pd.DataFrame({"doc_id": texts.doc_id.astype("Int64").to_numpy(), "held_out": texts.held_out.to_numpy(), **{k: found[k] for k in ("n_tokens", "n_known")}, "train_tokens": tokens, **{k: found[k] for k in ("base_score", "score")}}).astype({"doc_id": "Int64"})
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from scored_in(batches, depth, tokens, kinds, ends)
 
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    both = answers.unionByName(texts).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind")
+    return both.groupBy("block").applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

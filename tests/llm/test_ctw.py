@@ -1,8 +1,10 @@
+import tracemalloc
 import zlib
 from collections import Counter
 from math import lgamma, log
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from terrace.llm import ctw, hashing
@@ -120,3 +122,66 @@ def test_odd_texts(spark):
     only = next(k for k in range(100) if held(k))
     (r,) = ctw.lm_scores(documents(spark, [(only, "ab")])).collect()
     assert r.train_tokens == 0 and r.n_known == 0 and abs(r.score - 24 * np.log10(0.5)) < 1e-9
+
+
+def test_a_block_needs_memory_for_its_keys_and_a_piece_not_for_all_its_texts():
+    rng = np.random.default_rng(7)
+    words = [bytes(w) for w in rng.integers(97, 123, (40_000, 8), dtype=np.uint8)]
+
+    def peak(n):
+        texts = [b" ".join(words[k:] + words[:k]) for k in range(n)]
+        trained = np.arange(n) % 7 != 2
+        tracemalloc.start()
+        keys, counts = ctw.block_keys(texts, trained, 4)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (counts[keys >= ctw._WORD] == trained.sum()).all()
+        return most
+
+    peak(2)
+    assert peak(40) < 1.3 * peak(8)
+
+
+def test_texts_of_a_block_are_scored_batch_by_batch():
+    texts = [b"the cat sat", b"a dog", b"", b"the the"]
+    trained = np.array([True, True, False, True])
+    keys, n = ctw.block_keys(texts, trained, 4)
+    values = np.where(keys < ctw._WORD, -0.5, n)
+    whole = ctw.block_scores(texts, keys, values, 4, 10, 5, 3)
+    taken = []
+
+    def batch(kind, ids, value, text):
+        taken.append(kind)
+        return pa.record_batch({"kind": pa.array(kind, pa.int32()), "id": pa.array(ids, pa.int64()), "value": pa.array(value, pa.float64()), "text": pa.array(text, pa.string())})
+
+    def batches():
+        turned, half = np.arange(len(keys))[::-1], len(keys) // 2
+        ids = keys.view(np.int64)
+        yield batch([0] * half, ids[turned[:half]], values[turned[:half]], [None] * half)
+        rest = len(keys) - half
+        yield batch([0] * rest + [1], [*ids[turned[half:]], None], [*values[turned[half:]], None], [None] * rest + ["The cat sat"])
+        yield batch([1, 2], [7, 8], [None] * 2, ["a dog", None])
+        yield batch([1], [9], [None], ["the the"])
+
+    found = ctw.scored_in(batches(), 4, 10, 5, 3)
+    first = next(found)
+    assert len(taken) == 2 and first.column("doc_id").to_pylist() == [None]
+    every = pa.Table.from_batches([first, *found]).to_pydict()
+    assert every["doc_id"] == [None, 7, 8, 9] and every["held_out"] == [False, False, True, False] and set(every["train_tokens"]) == {10}
+    for name, expected in whole.items():
+        assert np.allclose(every[name], expected, rtol=0, atol=1e-12)
+
+
+def test_batches_do_not_change_results(spark):
+    def run():
+        return sorted(map(tuple, ctw.lm_scores(documents(spark, ROWS), ctw.Ctw(block_bytes=200)).collect()), key=str)
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, usual = spark.conf.get(name), run()
+    spark.conf.set(name, "3")
+    try:
+        found = run()
+    finally:
+        spark.conf.set(name, before)
+    assert [r[:5] for r in found] == [r[:5] for r in usual]
+    assert np.allclose([r[5:] for r in found], [r[5:] for r in usual], rtol=0, atol=1e-9)
